@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared
+from . import _shared, licence_scan, source_mix
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,9 +27,51 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(docs, tokenizer_path("word_bpe_49k.json"), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import digest, find_spans
+
+    return digest(find_spans(_shared.table(spark, sf_dir, "documents")))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import WEIGHTS, mixed
+
+    return mixed(_shared.table(spark, sf_dir, "documents"), WEIGHTS)
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licence_scan import scan
+
+    found = scan(_shared.table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zst import archived
+
+    pages = archived(_shared.table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_source_mix": source_mix.oracle(source_mix.WEIGHTS, columns="doc_id, text, lang, source, n_chars"),
+        "op7_licence_scan": licence_scan.oracle(),
+        # DuckDB has no base32: the digest's 160 bits are 32 letters of 5 bits
+        "op10_warc": """
+            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+            b AS (SELECT h, n, max(page_id) AS best FROM p GROUP BY h, n),
+            bits AS (SELECT h, string_agg(lpad(bin(('0x' || substr(h, 2 * i + 1, 2))::INT), 8, '0'), '' ORDER BY i) AS s
+                     FROM b, range(20) t(i) GROUP BY h),
+            d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                     1 + list_sum(list_transform(range(0, 5), lambda k: (substr(s, 5 * j + k + 1, 1))::INT * (16 >> k)))::INT, 1), '' ORDER BY j) AS digest
+                  FROM bits, range(32) t(j) GROUP BY h)
+            SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+                   CASE WHEN page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+            FROM p JOIN b USING (h, n) JOIN d USING (h)""",
+    }
