@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, licence_scan, source_mix
+from . import _shared, licence_scan, quality_rules, source_mix
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +27,13 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(docs, tokenizer_path("word_bpe_49k.json"), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    rows = judged(_shared.table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .personal_data import digest, find_spans
 
@@ -59,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality_rules.oracle(),
         "op6_source_mix": source_mix.oracle(source_mix.WEIGHTS, columns="doc_id, text, lang, source, n_chars"),
         "op7_licence_scan": licence_scan.oracle(),
         # DuckDB has no base32: the digest's 160 bits are 32 letters of 5 bits
