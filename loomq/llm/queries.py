@@ -53,6 +53,13 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notices", F.array_join("notices", ","))
 
 
+def op8_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vantage_points import nearest
+
+    vectors = _shared.table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_zst import archived
 
