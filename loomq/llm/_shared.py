@@ -34,9 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 
 
-def arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow, after this package has been sent to the workers (once an application)."""
-    context = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once an application."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
@@ -45,6 +45,11 @@ def arrow(df: DataFrame, function, schema: str) -> DataFrame:
                 out.write(f, f.relative_to(package.parent))
         context.addPyFile(str(path))
         _shipped.add(context.applicationId)
+
+
+def arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow by a function of this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
