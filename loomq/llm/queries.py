@@ -40,6 +40,13 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_spans(_shared.table(spark, sf_dir, "documents")))
 
 
+def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    from .piece_viterbi import encoded
+
+    return encoded(_shared.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), check=True)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import WEIGHTS, mixed
 
