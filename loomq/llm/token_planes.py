@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,15 +166,20 @@ class ShardReader:
 class WordTokens:
     """Ids of whole texts from those of their words, each distinct word encoded once and kept.
 
-    Right for tokenizers that end every token at ASCII white space and drop it, as word_bpe_49k.json does. The store of
-    words is emptied at `most` words, so its memory is bounded; the ids do not depend on it.
+    Right for tokenizers that end every token at ASCII white space and drop it, fold case, and end a token where a letter
+    or digit meets a full stop or comma, as word_bpe_49k.json does: a word's ids are then those of its stem and its end.
+    The store of stems is emptied at `most` of them, so its memory is bounded; the ids do not depend on it.
     """
 
+    #: Between the words of one call; a word that holds it goes alone.
+    BETWEEN = "<|endoftext|>"
+
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.between = self.tokenizer.token_to_id(self.BETWEEN)
         self._clear()
 
     def _clear(self) -> None:
@@ -182,11 +188,9 @@ class WordTokens:
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
+        self._keep([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
-    def _learn(self, words: list[str]) -> None:
-        coded = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for x in coded for i in x), np.uint32, int(lengths.sum()))
+    def _keep(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         n = len(self.place)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -199,22 +203,61 @@ class WordTokens:
         self.used += len(flat)
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _learn(self, words: list[str], at_once: int = 256) -> None:
+        plain = [w for w in words if self.BETWEEN not in w]
+        joined = [self.BETWEEN.join(plain[k : k + at_once]) for k in range(0, len(plain), at_once)]
+        coded = [np.array([*x.ids, self.between], np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        if coded:
+            flat = np.concatenate(coded)
+            stop = flat == self.between
+            lengths = np.diff(np.flatnonzero(stop), prepend=-1) - 1
+            self._keep(plain, lengths, flat[~stop])
+        if len(plain) < len(words):
+            odd = [w for w in words if self.BETWEEN in w]
+            coded = [x.ids for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
+            self._keep(odd, np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.uint32))
+
+    def _places(self, coded: pa.DictionaryArray) -> np.ndarray:
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.place]:
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids; end_id follows each text."""
         offsets, codes, words = _shared.words_of(texts)
-        words = words.to_pylist()
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        stems = pc.utf8_rtrim(words, characters=".,")
+        stems = pc.if_else(pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"), stems, words)
+        cut = pc.subtract(pc.utf8_length(words), pc.utf8_length(stems)).to_numpy(zero_copy_only=False)
+        ends = [""] * len(words)
+        for k in np.flatnonzero(cut).tolist():
+            ends[k] = words[k].as_py()[-int(cut[k]) :]
         if len(self.place) + len(words) > self.most:
             self._clear()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[codes] if words else np.zeros(0, np.int64)
-        lengths = self.lengths[places]
-        ids = self.ids[_shared.ranges(self.starts[places], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
-        counts = np.diff(ends)
-        if end_id is not None:
-            ids, counts = np.insert(ids, ends[1:], end_id), counts + 1
-        return counts, ids
+        pairs = np.stack([self._places(stems.dictionary_encode()), self._places(pa.array(ends, pa.string()).dictionary_encode())], axis=1)
+        word_lengths = self.lengths[pairs].sum(axis=1)
+        word_ids = self.ids[_shared.ranges(self.starts[pairs.ravel()], self.lengths[pairs.ravel()])]
+        word_starts = np.cumsum(word_lengths) - word_lengths
+        if end_id is not None:  # as one more word after each text
+            word_starts, word_lengths = np.append(word_starts, len(word_ids)), np.append(word_lengths, 1)
+            word_ids = np.append(word_ids, np.uint32(end_id))
+            codes = np.insert(codes, offsets[1:], len(word_lengths) - 1)
+            offsets = offsets + np.arange(len(offsets))
+        lengths = word_lengths[codes]
+        ids = word_ids[_shared.ranges(word_starts[codes], lengths)]
+        return np.diff(np.concatenate([[0], np.cumsum(lengths)])[offsets]), ids
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """This worker's WordTokens for path: tasks that follow each other in a worker share it."""
+    if path not in _tokens:
+        _tokens.clear()
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int | None = 1, bits: int = 1, shards: int | None = None) -> None:
@@ -226,7 +269,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int |
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = WordTokens(tokenizer), None
+        words, shard = word_tokens(tokenizer), None
         batch = lambda records: pa.record_batch({"record": pa.array(records, pa.binary())})
         for b in batches:
             texts = b.column(1)
