@@ -67,6 +67,12 @@ def op8_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op9_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_groups import jaccard_components
+
+    return jaccard_components(_shared.table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_zst import archived
 
@@ -81,6 +87,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.oracle(),
+        # n_links counts linked documents, equal sets among them
+        "op9_token_groups": """
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) u(i)),
+            n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+            r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a)
+            SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_links
+            FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
         "op6_source_mix": source_mix.oracle(source_mix.WEIGHTS, columns="doc_id, text, lang, source, n_chars"),
         "op7_licence_scan": licence_scan.oracle(),
         # DuckDB has no base32: the digest's 160 bits are 32 letters of 5 bits
