@@ -133,10 +133,10 @@ def judged(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that judged() keeps, with the columns of docs.
 
-    The verdict is worked out on each row beside its own columns, so nothing is joined and doc_id need not be a key.
+    Each row's measures are written beside its own columns, so nothing is joined and doc_id need not be a key.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs["doc_id"], docs["text"])
-    measured = features(row, "_row")
+    measured = _shared.written(features(row, "_row"), "features")
     return measured.where(~base_failed() & (fit(measured).posterior(votes()) >= 0.5)).select("_row.*")
 
 

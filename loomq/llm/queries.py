@@ -40,6 +40,12 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_spans(_shared.table(spark, sf_dir, "documents")))
 
 
+def op4_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .super_kmers import deduplicated
+
+    return deduplicated(_shared.table(spark, sf_dir, "documents"), width=50)
+
+
 def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
     from .piece_viterbi import encoded
@@ -87,6 +93,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.oracle(),
+        "op4_super_kmers": """
+            WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(w) - 48)) u(i)),
+            gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM g) WHERE least < doc_id),
+            p AS (SELECT w.doc_id, j, w[j] AS word FROM w, unnest(range(1, len(w) + 1)) u(j)),
+            r AS (SELECT DISTINCT doc_id, i + o AS j FROM gone, range(50) t(o)),
+            k AS (SELECT p.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY p.j) AS t FROM p ANTI JOIN r ON r.doc_id = p.doc_id AND r.j = p.j GROUP BY p.doc_id)
+            SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+            FROM w LEFT JOIN k USING (doc_id)""",
         # n_links counts linked documents, equal sets among them
         "op9_token_groups": """
             WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
