@@ -3,12 +3,12 @@
 Two documents link if their sets of distinct word shingles have a Jaccard similarity of `percent` hundredths or more; the
 result is exact, up to equal 64-bit hashes of different shingles.
 
-1. A fixed-size table of counters, filled over all documents, says which shingles are common. It only sets the order in
+1. A fixed-size table of counters, filled over all documents, says how common shingles are. It only sets the order in
    which shingles are taken: common ones last.
 2. Of each set's shingles in that order, the first few (n - ceil(percent * n) + 1 of n) are its prefix. Linked sets share
    a prefix shingle. Equal sets are one class from here on.
-3. Prefix shingles that only one class has are dropped. A class that shares much of its prefix with the first class that
-   has the same shingles and about the same size joins its group; groups are split into blocks of bounded size.
+3. Prefix shingles that only one class has are dropped. A class that has an eighth of the others in common with one pivot, the
+   first class of about its size that has them, joins that pivot's group; groups are split into blocks of bounded size.
 4. The matrix holds, for each block, the union of its members' prefix shingles. Two blocks can only hold a linked pair if
    their unions share at least as many as linked sets of their sizes must; only such pairs of blocks are opened.
 5. Opening a pair of blocks compares the full sets of their members at once. It gives each member's number of links
@@ -109,9 +109,11 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
 
 
 def common_ranks(pieces: DataFrame) -> np.ndarray:
-    """For each counter a rank: 0 for shingles that look rare, else the binary logarithm of how much they stand out.
+    """For each counter a rank from 0 to 63: how full it is, in quarters of a standard deviation, in powers of two at the top.
 
-    The pieces of all tasks are added up piece by piece; the driver gets one table of counters, whatever the input.
+    Most shingles are in one document only and fill all counters alike; one that d documents share lifts its counter by
+    d, so that sets take their prefixes from the shingles that few others have. The pieces of all tasks are added up
+    piece by piece; the driver gets one table of counters, whatever the input.
     """
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +129,10 @@ def common_ranks(pieces: DataFrame) -> np.ndarray:
     counts = np.zeros((PIECES, (1 << COUNTER_BITS) // PIECES))
     for r in rows.collect():
         counts[r.piece] += np.frombuffer(r.counts, "<i8")
-    counts, mean = counts.ravel(), counts.mean()
-    above = counts - mean
-    return np.where(above > 6 * np.sqrt(mean) + 8, 1 + np.floor(np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+    counts = counts.ravel()
+    off = (counts - counts.mean()) / max(1.0, np.sqrt(counts.mean()))
+    near, far = 24 + 4 * off, 40 + 3 * np.log2(np.maximum(off, 4) / 4)
+    return np.clip(np.where(off < 4, near, far), 0, 63).astype(np.uint8)
 
 
 def prefix(members: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
@@ -194,13 +197,12 @@ def shared_postings(posted: DataFrame, percent: int) -> DataFrame:
     return _shared.arrow(rows, share, "token long, c long, n int, pivot long")
 
 
-def blocks_of(shared: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """c, n, block of every class in shared: groups of classes that share much of their prefix with one pivot, split."""
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+def blocks_of(shared: DataFrame, block: int = BLOCK) -> DataFrame:
+    """c, n, block of every class in shared: groups of classes that share an eighth of what they share with one pivot, split."""
     with_pivot = shared.groupBy("c", "n", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    strong = (F.col("pivot") != F.col("c")) & (4 * F.col("k") >= size)
-    best = with_pivot.groupBy("c", "n").agg(F.max(F.when(strong, F.struct("k", "pivot"))).alias("best"))
-    grouped = best.select("c", "n", F.coalesce(F.col("best.pivot"), F.col("c")).alias("g"))
+    best = with_pivot.groupBy("c", "n").agg(F.sum("k").alias("all"), F.max(F.when(F.col("pivot") != F.col("c"), F.struct("k", "pivot"))).alias("best"))
+    strong = (F.col("best.k") > 1) & (8 * F.col("best.k") >= F.col("all"))
+    grouped = best.select("c", "n", F.when(strong, F.col("best.pivot")).otherwise(F.col("c")).alias("g"))
     parts = grouped.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     return grouped.join(parts, "g").select("c", "n", F.xxhash64("g", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("block"))
 
@@ -357,7 +359,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) ->
 
     held = rows.where("doc_id is not null").select("text")
     shared = _shared.written(shared_postings(postings(held, ranks, words, percent), percent), "shared")
-    blocks = _shared.written(blocks_of(shared, percent), "blocks")
+    blocks = _shared.written(blocks_of(shared), "blocks")
     pairs = _shared.written(pairs_to_open(shared, blocks, percent), "pairs")
 
     live = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).distinct()
