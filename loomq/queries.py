@@ -86,7 +86,7 @@ def _select(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 def _stored(spark: SparkSession, sf_dir: str, table: str, primary: tuple[str, ...], columns: list[str], *statements: str) -> DataFrame:
     """The columns of a star-schema table after statements on a stored copy of it."""
     engine = Engine(spark, shared_folder(spark))
-    df = star_schema(spark, sf_dir).views[table].select(*columns)
+    df = star_schema(spark, sf_dir).view(table).select(*columns)
     engine.create_table_as(table, df.repartitionByRange(4, columns[0]), primary)
     for s in statements:
         engine.mine.sql(s)
@@ -116,7 +116,7 @@ def analyze_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ANALYZE works out for orders, as one row."""
     from .operators.define import measure
 
-    rows, distinct = measure(star_schema(spark, sf_dir).views["orders"])
+    rows, distinct = measure(star_schema(spark, sf_dir).view("orders"))
     return spark.createDataFrame([(rows, *(distinct[c] for c in sorted(distinct)))], ["row_count", *sorted(distinct)])
 
 

@@ -44,7 +44,7 @@ class Engine:
         self.store = Store(spark, path) if path else None
         self.users = Users(self.store.folder if self.store else None)
         self.locks = TableLocks(lock_timeout)
-        self.views: dict[str, DataFrame] = {}
+        self.views: dict[str, DataFrame | str] = {}
         self.view_facts: dict[str, Facts] = {}
         self._local = threading.local()
         self._transactions = 0
@@ -52,8 +52,14 @@ class Engine:
         self._lock = threading.Lock()
 
     def register(self, name: str, table: DataFrame | str) -> None:
-        """Makes a DataFrame, or a Parquet path, readable under name."""
-        self.views[name.lower()] = self.spark.read.parquet(table) if isinstance(table, str) else table
+        """Makes a DataFrame, or a Parquet path, readable under name. A path is not looked at before its first use."""
+        self.views[name.lower()] = table
+
+    def view(self, name: str) -> DataFrame:
+        table = self.views[name.lower()]
+        if isinstance(table, str):
+            table = self.views[name.lower()] = self.spark.read.parquet(table)
+        return table
 
     def register_parquet(self, folder: str, names: list[str]) -> None:
         for n in names:
@@ -152,7 +158,7 @@ class Session:
                 self.engine.locks.read(key, self)
             return self.store.frame(self.manifest(name))
         if key in self.engine.views:
-            return self.engine.views[key]
+            return self.engine.view(key)
         raise LoomError(f"Table '{name}' does not exist")
 
     def facts(self, name: str) -> Facts:
