@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,23 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 #: A word of the corpus contracts: a run of anything but these six characters. The same set as a Java and a Python pattern.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new, empty folder name under spark.checkpoint.dir, which the driver and all executors see.
-
-    Where the setting is absent (tests, one machine), a folder under /tmp/checkpoints takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loomq-{uuid.uuid4().hex}"
-
-
 _shipped: set[str] = set()
 
 
@@ -112,5 +100,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> F.Column:
     return F.coalesce(df[column], F.lit(""))

@@ -38,6 +38,8 @@ from .components import components
 
 #: Counters of the table of common shingles (a power of two) and the pieces it travels in.
 COUNTER_BITS, PIECES = 20, 16
+#: Bits of the table that says which documents may be wanted: of fixed size, so it fits every task.
+WANTED_BITS = 23
 BLOCK = 128
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -336,17 +338,29 @@ def opened(members: DataFrame, words: int, percent: int) -> DataFrame:
     return _shared.arrow(rows, open_all, "c long, root long, links long")
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """doc_id and text of docs, the text as zstd: a third of the bytes to shuffle."""
+def wanted_bits(ids: DataFrame) -> np.ndarray:
+    """Which residues of the hashes of ids.doc_id occur, as WANTED_BITS bits. The driver gets 4 KB for each 2**15 of them."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)) + 1  # Spark counts these bits from 1
+    rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros((1 << WANTED_BITS - 15, 1 << 12), np.uint8)
+    for r in rows:
+        out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def squeezed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """doc_id and text, as zstd, of those docs (doc_id, text) that bits leave in: all that are wanted, and few others while few are wanted."""
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
+            place = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             for at, n in _shared.slices(b.column(1)):
                 texts = [z.compress(t.as_buffer()) for t in b.column(1).slice(at, n)]
                 yield pa.record_batch({"doc_id": b.column(0).slice(at, n), "text": pa.array(texts, pa.binary())})
 
-    return _shared.arrow(docs, squeeze, "doc_id long, text binary")
+    return _shared.arrow(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).alias("p")), squeeze, "doc_id long, text binary")
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) -> DataFrame:
@@ -365,9 +379,9 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) ->
     live = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).distinct()
     wanted = blocks.join(live, "block").join(classes, "c").select("block", "c", "weight", F.col("first").alias("doc_id"))
     wanted = _shared.written(wanted, "wanted")
-    texts = squeezed(rows.where("doc_id is not null")).join(wanted, "doc_id").select("block", "c", "weight", "text")
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    links = _shared.written(opened(sides.join(texts, "block"), words, percent), "opened")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).join(wanted, "block")
+    texts = squeezed(rows.where("doc_id is not null"), wanted_bits(wanted))
+    links = _shared.written(opened(sides.join(texts, "doc_id"), words, percent), "opened")
 
     labels = components(links.select(F.col("c").alias("a"), F.col("root").alias("b")))
     found = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -386,8 +400,9 @@ def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 75) -> DataFr
 
     Of rows that share a doc_id the one of the least text hash stays; rows without a doc_id all stay.
     """
+    gone, nth = _shared.fresh(docs, "_gone"), _shared.fresh(docs, "_nth")
     found = jaccard_components(docs, words=words, percent=percent)
-    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(drop, docs["doc_id"] == F.col("_gone"), "left_anti")
+    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
-    return left.withColumn("_nth", first).where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.withColumn(nth, first).where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
