@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared
+
 #: Means above this are drawn as a sum of independent Poisson numbers of at most this mean: exp(-mean) stays a normal double.
 LARGEST_MEAN = 32.0
 
@@ -70,9 +72,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float], *, total: float | None
     drawn: Column = poisson(others, seed, docs["doc_id"]) if others else F.lit(0)
     for s, rate in sorted(rates(counts, weights, total).items(), reverse=True):
         drawn = F.when(source == s, poisson(rate, seed, docs["doc_id"])).otherwise(drawn)
-    copy = "copy"
-    while copy in docs.columns:
-        copy += "_"
+    copy = _shared.fresh(docs, "copy")
     copies = docs.where(drawn > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), drawn)))
     order = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.col(copy)))
     dealt = copies.repartition(partitions, order) if partitions else copies.repartition(order)
