@@ -1,0 +1,65 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomq.llm import quality_rules as q
+
+from llm_cases import WORD
+
+
+def measure(text):
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    count = Counter(windows)
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len({k + o for k, x in enumerate(windows) if count[x] > 1 for o in range(3)}), "n_lines": len(lines), "n_term_lines": sum(bool(re.search(r"""[.!?"'”»…]\s*$""", x)) for x in lines),
+        "n_letters": sum(c.isalpha() for c in text), "n_upper": sum(c.isupper() for c in text), "n_exclaim": text.count("!"),
+    }
+
+
+def test_measures(spark, odd, none):
+    rows = odd.select("doc_id", "text").collect() + [(20, "a b c a b c d e a b"), (21, "L1.\nL1.\n \nL2!\nl2 # $$ <x>"), (22, "a a a a a"), (23, "x y z x y"), (24, "ÀB é! “q”")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in q.features(df).select(*q.MEASURES).collect())
+    assert got == sorted(tuple(measure(t)[m] for m in q.MEASURES) for _, t in rows)
+    assert q.features(none).count() == 0 and q.judged(none).count() == 0 and q.filtered(none).count() == 0
+
+
+def test_em_equals_a_plain_version(spark):
+    rows = [([1, 1, 0], 60), ([1, -1, 0], 7), ([-1, -1, 1], 20), ([-1, 1, -1], 4), ([0, 0, 0], 5), ([-1, -1, -1], 9)]
+    df = spark.createDataFrame([(rows,)], "ps array<struct<v array<int>, n bigint>>")
+    got = df.select(F.expr(q.em_sql("ps", 3, 12)).alias("m")).first().m
+    pi, bad, good = q.FIRST_PRIOR, [q.FIRST_ACCURACY] * 3, [q.FIRST_ACCURACY] * 3
+    clip = lambda x, b: max(b[0], min(b[1], x))
+    for _ in range(12):
+        post = []
+        for v, _n in rows:
+            odds = q.logit(pi)
+            for j in range(3):
+                odds += -max(0, q.logit(bad[j]) + q.logit(pi)) if v[j] == -1 else max(0, q.logit(good[j]) - q.logit(pi)) if v[j] == 1 else 0
+            post.append(1 / (1 + math.exp(-odds)))
+        of = lambda j, vote, right: clip((sum(n * right(p) for (v, n), p in zip(rows, post, strict=True) if v[j] == vote) + q.FIRST_ACCURACY) / (sum(n for v, n in rows if v[j] == vote) + 1), q.ACCURACY)
+        bad, good = [of(j, -1, lambda p: 1 - p) for j in range(3)], [of(j, 1, lambda p: p) for j in range(3)]
+        pi = clip(sum(n * p for (_, n), p in zip(rows, post, strict=True)) / sum(n for _, n in rows), q.PRIOR)
+    assert got.pi == pytest.approx(pi, abs=1e-12) and list(got.bad) == pytest.approx(bad, abs=1e-12) and list(got.good) == pytest.approx(good, abs=1e-12)
+
+
+def test_verdicts_on_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = q.judged(docs).join(labels, "doc_id").where("n_words >= 50").collect()
+    assert sum(r.kept == bool(r.quality) for r in rows) / len(rows) > 0.99
+    assert all(r.kept for r in rows if r.quality) or sum(not r.kept for r in rows if r.quality) < 0.01 * len(rows)
+    assert all(0 <= r.posterior <= 1 for r in rows)
+
+
+def test_filtered_keeps_rows_whole(spark, odd):
+    clean = " ".join(f"word{k} and" for k in range(40)) + "."
+    df = odd.unionByName(odd.limit(1).withColumn("text", F.lit(clean)).withColumn("doc_id", F.lit(77)))
+    kept = q.filtered(df)
+    assert kept.columns == df.columns and [r.text for r in kept.collect()] == [clean]
+    assert [r.doc_id for r in q.judged(df).where("kept").collect()] == [77]
