@@ -102,9 +102,14 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def fitted_dictionary(pages: DataFrame, column: str = "html") -> bytes:
-    """A dictionary from at most SAMPLE_PAGES payloads, those of the smallest hashes; b"" if they are too few to fit one."""
+    """A dictionary from at most SAMPLE_PAGES distinct payloads, those of the smallest hashes; b"" if they are too few to fit one.
+
+    Hashes are chosen first, so that no task sends payloads that are not taken.
+    """
     rows = pages.where(F.length(column) > 0).select(F.substring(F.encode(column, "UTF-8"), 1, SAMPLE_BYTES).alias("x"), F.xxhash64(column).alias("h"))
-    samples = [bytes(r.x) for r in rows.orderBy("h", "x").limit(SAMPLE_PAGES).collect()]
+    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    taken = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("x").alias("x")) if least else None
+    samples = [bytes(r.x) for r in sorted(taken.collect(), key=lambda r: r.h)] if taken else []
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if samples else b""
     except zstandard.ZstdError:
