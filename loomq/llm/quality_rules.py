@@ -1,9 +1,13 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Seven rules each vote good (+1), bad (-1) or abstain (0) on a document. Expectation-maximisation over the counts of vote
-patterns estimates how accurate each rule is and how many documents are good; a document is kept if, given its votes,
-it is good with at least even probability, and if it does not fail the base rule. There are at most 3**7 patterns,
-whatever the input, and one row of 8 numbers comes to the driver.
+patterns estimates how often each rule's bad votes and good votes are right, and how many documents are good; a document
+is kept if, given its votes, it is good with at least even probability, and if it does not fail the base rule. There are
+at most 3**7 patterns, whatever the input, and one row of 15 numbers comes to the driver.
+
+With p the share of good documents and a how often a vote is right, a bad vote adds -(logit a + logit p) to the logit of
+p, a good vote logit a - logit p (Bayes' rule, votes being independent given the class); neither ever counts for the
+other side, and an abstention adds nothing. Most rules only ever vote bad: a text without junk symbols may still shout.
 
 Defined cases: null text is empty text: no words, every rule abstains, base failed. A document's text counts whole.
 Rows are judged one by one, so repeated rows get equal verdicts; an empty table gives no rows.
@@ -24,13 +28,13 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 #: Rules: name, when it votes bad, when it votes good (bad goes first; else it abstains). SQL over MEASURES, integers only.
 RULES = (
-    ("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words AND n_words > 0"),
-    ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines AND n_lines > 1"),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words AND n_words > 2"),
-    ("upper", "10 * n_upper > 4 * n_letters", "10 * n_upper <= n_letters AND n_letters > 0"),
+    ("symbols", "10 * n_symbols > n_words", "FALSE"),
+    ("dup_lines", "10 * n_dup_lines > 4 * n_lines", "FALSE"),
+    ("repeats", "100 * n_repeat_words > 40 * n_words", "FALSE"),
+    ("upper", "10 * n_upper > 4 * n_letters", "FALSE"),
+    ("exclaim", "4 * n_exclaim > n_words", "FALSE"),
     ("letters", "100 * n_letters < 75 * word_chars", "100 * n_letters >= 90 * word_chars AND n_letters > 0"),
     ("line_ends", "2 * n_term_lines < n_lines", "10 * n_term_lines >= 9 * n_lines AND n_lines > 0"),
-    ("exclaim", "4 * n_exclaim > n_words", "50 * n_exclaim <= n_words AND n_words > 0"),
 )
 STEPS, FIRST_ACCURACY, FIRST_PRIOR = 25, 0.8, 0.8
 #: Bounds: a rule is never taken for worse than a guess, nor for infallible; neither class ever dies out.
@@ -83,30 +87,43 @@ def votes() -> Column:
     return F.array(*[F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for _, bad, good in RULES])
 
 
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
 @dataclass(frozen=True)
 class Model:
-    """prior: share of good documents; accuracy: of each rule, how often its votes are right."""
+    """prior: share of good documents; bad, good: of each rule, how often its bad and its good votes are right."""
 
     prior: float
-    accuracy: tuple[float, ...]
+    bad: tuple[float, ...]
+    good: tuple[float, ...]
 
     def posterior(self, vote: Column) -> Column:
-        odds = [math.log(a / (1 - a)) for a in self.accuracy]
-        total = sum((vote[j] * F.lit(w) for j, w in enumerate(odds)), F.lit(math.log(self.prior / (1 - self.prior))))
-        return 1 / (1 + F.exp(-total))
+        """The probability that a document with these votes is good."""
+        odds = F.lit(logit(self.prior))
+        for j, (bad, good) in enumerate(zip(self.bad, self.good, strict=True)):
+            against, in_favour = max(0.0, logit(bad) + logit(self.prior)), max(0.0, logit(good) - logit(self.prior))
+            odds += F.when(vote[j] == -1, -against).when(vote[j] == 1, in_favour).otherwise(0.0)
+        return 1 / (1 + F.exp(-odds))
 
 
 def em_sql(patterns: str, rules: int, steps: int = STEPS) -> str:
-    """A Spark SQL expression over `patterns`, array<struct<v array<int>, n bigint>>: struct<pi double, a array<double>> after `steps` rounds."""
+    """A Spark SQL expression over `patterns`, array<struct<v array<int>, n bigint>>: struct<pi double, bad array<double>, good array<double>>."""
     clip = lambda x, lo, hi: f"greatest({lo}D, least({hi}D, {x}))"
     total = lambda what: f"aggregate(transform(ps, p -> {what}), 0D, (s, x) -> s + x)"
-    posterior = "1D / (1D + exp(-(ln(m.pi / (1D - m.pi)) + aggregate(zip_with(p.v, m.a, (v, a) -> v * ln(a / (1D - a))), 0D, (s, x) -> s + x))))"
-    right = total("CASE WHEN p.v[j] = 1 THEN p.n * p.q WHEN p.v[j] = -1 THEN p.n * (1D - p.q) ELSE 0D END")
-    cast = total("CASE WHEN p.v[j] = 0 THEN 0D ELSE double(p.n) END")
-    accuracy = clip(f"({right} + {FIRST_ACCURACY}D) / ({cast} + 1D)", *ACCURACY)
+    log = lambda p: f"ln({p} / (1D - {p}))"
+    against, in_favour = f"greatest(0D, {log('m.bad[j]')} + {log('m.pi')})", f"greatest(0D, {log('m.good[j]')} - {log('m.pi')})"
+    odds = f"aggregate(sequence(0, {rules - 1}), {log('m.pi')}, (s, j) -> s + CASE WHEN p.v[j] = -1 THEN -({against}) WHEN p.v[j] = 1 THEN {in_favour} ELSE 0D END)"
+
+    def accuracy(vote: int, right: str) -> str:
+        hit, cast = total(f"CASE WHEN p.v[j] = {vote} THEN p.n * {right} ELSE 0D END"), total(f"CASE WHEN p.v[j] = {vote} THEN double(p.n) ELSE 0D END")
+        return f"transform(sequence(0, {rules - 1}), j -> {clip(f'({hit} + {FIRST_ACCURACY}D) / ({cast} + 1D)', *ACCURACY)})"
+
     prior = clip(f"{total('p.n * p.q')} / {total('double(p.n)')}", *PRIOR)
-    step = f"transform(array(transform({patterns}, p -> named_struct('v', p.v, 'n', p.n, 'q', {posterior}))), ps -> named_struct('pi', {prior}, 'a', transform(sequence(0, {rules - 1}), j -> {accuracy})))[0]"
-    return f"aggregate(sequence(1, {steps}), named_struct('pi', {FIRST_PRIOR}D, 'a', array_repeat({FIRST_ACCURACY}D, {rules})), (m, i) -> {step})"
+    step = f"transform(array(transform({patterns}, p -> named_struct('v', p.v, 'n', p.n, 'q', 1D / (1D + exp(-({odds})))))), ps -> named_struct('pi', {prior}, 'bad', {accuracy(-1, '(1D - p.q)')}, 'good', {accuracy(1, 'p.q')}))[0]"
+    first = f"array_repeat({FIRST_ACCURACY}D, {rules})"
+    return f"aggregate(sequence(1, {steps}), named_struct('pi', {FIRST_PRIOR}D, 'bad', {first}, 'good', {first}), (m, i) -> {step})"
 
 
 def fit(measured: DataFrame) -> Model:
@@ -115,8 +132,8 @@ def fit(measured: DataFrame) -> Model:
     held = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("ps"))
     row = held.where(F.size("ps") > 0).select(F.expr(em_sql("ps", len(RULES))).alias("m")).first()
     if row is None:
-        return Model(FIRST_PRIOR, (FIRST_ACCURACY,) * len(RULES))
-    return Model(row.m.pi, tuple(row.m.a))
+        return Model(FIRST_PRIOR, (FIRST_ACCURACY,) * len(RULES), (FIRST_ACCURACY,) * len(RULES))
+    return Model(row.m.pi, tuple(row.m.bad), tuple(row.m.good))
 
 
 def base_failed() -> Column:
@@ -144,8 +161,13 @@ def oracle(documents: str = "documents") -> str:
     """DuckDB SQL for doc_id, the contract's columns and kept: EM as a recursive query over one row."""
     k = len(RULES)
     vote = "[" + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for _, bad, good in RULES) + "]"
-    logit = lambda a, pi, v: f"1 / (1 + exp(-(ln({pi} / (1 - {pi})) + list_sum([{v}[j] * ln({a}[j] / (1 - {a}[j])) for j in range(1, {k + 1})]))))"
-    right = "CASE WHEN p.v[j] = 1 THEN p.n * p.q WHEN p.v[j] = -1 THEN p.n * (1 - p.q) ELSE 0 END"
+    log = lambda p: f"ln({p} / (1 - {p}))"
+    posterior = lambda m, v: f"1 / (1 + exp(-({log(f'{m}pi')} + list_sum([CASE WHEN {v}[j] = -1 THEN -greatest(0, {log(f'{m}bad[j]')} + {log(f'{m}pi')}) WHEN {v}[j] = 1 THEN greatest(0, {log(f'{m}good[j]')} - {log(f'{m}pi')}) ELSE 0 END for j in range(1, {k + 1})]))))"
+
+    def accuracy(vote: int, right: str) -> str:
+        hit, cast = (f"list_sum([CASE WHEN p.v[j] = {vote} THEN p.n * {x} ELSE 0 END for p in ps])" for x in (right, "1"))
+        return f"[greatest({ACCURACY[0]}::DOUBLE, least({ACCURACY[1]}::DOUBLE, ({hit} + {FIRST_ACCURACY}) / ({cast} + 1))) for j in range(1, {k + 1})]"
+
     return f"""
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {documents}),
         w AS (SELECT r, [x for x in regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+') if x <> ''] AS w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l FROM d),
@@ -159,10 +181,9 @@ def oracle(documents: str = "documents") -> str:
               FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
         v AS (SELECT *, {vote} AS v FROM f),
         pats AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps FROM (SELECT v, count(*) AS n FROM v GROUP BY v)),
-        em AS (SELECT 0 AS i, {FIRST_PRIOR}::DOUBLE AS pi, [{FIRST_ACCURACY}::DOUBLE for j in range({k})] AS a
-               UNION ALL SELECT i + 1, greatest({PRIOR[0]}::DOUBLE, least({PRIOR[1]}::DOUBLE, list_sum([p.n * p.q for p in ps]) / list_sum([p.n for p in ps]))),
-               [greatest({ACCURACY[0]}::DOUBLE, least({ACCURACY[1]}::DOUBLE, (list_sum([{right} for p in ps]) + {FIRST_ACCURACY}) / (list_sum([CASE WHEN p.v[j] = 0 THEN 0 ELSE p.n END for p in ps]) + 1))) for j in range(1, {k + 1})]
-               FROM (SELECT i, [{{'v': p.v, 'n': p.n::DOUBLE, 'q': {logit("a", "pi", "p.v")}}} for p in pats.ps] AS ps FROM em, pats WHERE i < {STEPS})),
+        em AS (SELECT 0 AS i, {FIRST_PRIOR}::DOUBLE AS pi, [{FIRST_ACCURACY}::DOUBLE for j in range({k})] AS bad, [{FIRST_ACCURACY}::DOUBLE for j in range({k})] AS good
+               UNION ALL SELECT i + 1, greatest({PRIOR[0]}::DOUBLE, least({PRIOR[1]}::DOUBLE, list_sum([p.n * p.q for p in ps]) / list_sum([p.n for p in ps]))), {accuracy(-1, "(1 - p.q)")}, {accuracy(1, "p.q")}
+               FROM (SELECT i, [{{'v': p.v, 'n': p.n::DOUBLE, 'q': {posterior("", "p.v")}}} for p in pats.ps] AS ps FROM em, pats WHERE i < {STEPS})),
         m AS (SELECT * FROM em WHERE i = {STEPS}),
-        b AS (SELECT v.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATS} * n_words AS base_failed, {logit("m.a", "m.pi", "v.v")} AS posterior FROM v, m)
+        b AS (SELECT v.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATS} * n_words AS base_failed, {posterior("m.", "v.v")} AS posterior FROM v, m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept FROM b"""
