@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shared
+from .id_store import IdStore
 
 TERMINATOR = b"\n"
 MAGIC, END_MAGIC = b"BPLN", b"BPLX"
@@ -178,50 +179,20 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.store = Tokenizer.from_file(path), IdStore(most)
         self.between = self.tokenizer.token_to_id(self.BETWEEN)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
-        self._keep([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
-
-    def _keep(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
-        n = len(self.place)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(words) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n : n + len(words)] = lengths
-        self.used += len(flat)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _learn(self, words: list[str], at_once: int = 256) -> None:
-        plain = [w for w in words if self.BETWEEN not in w]
+        plain = [w for w in words if w and self.BETWEEN not in w]
         joined = [self.BETWEEN.join(plain[k : k + at_once]) for k in range(0, len(plain), at_once)]
         coded = [np.array([*x.ids, self.between], np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         if coded:
             flat = np.concatenate(coded)
             stop = flat == self.between
-            lengths = np.diff(np.flatnonzero(stop), prepend=-1) - 1
-            self._keep(plain, lengths, flat[~stop])
-        if len(plain) < len(words):
-            odd = [w for w in words if self.BETWEEN in w]
+            self.store.keep(plain, np.diff(np.flatnonzero(stop), prepend=-1) - 1, flat[~stop])
+        if odd := [w for w in words if not w or self.BETWEEN in w]:
             coded = [x.ids for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
-            self._keep(odd, np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.uint32))
-
-    def _places(self, coded: pa.DictionaryArray) -> np.ndarray:
-        words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+            self.store.keep(odd, np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.uint32))
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids; end_id follows each text."""
@@ -233,11 +204,10 @@ class WordTokens:
         ends = [""] * len(words)
         for k in np.flatnonzero(cut).tolist():
             ends[k] = words[k].as_py()[-int(cut[k]) :]
-        if len(self.place) + len(words) > self.most:
-            self._clear()
-        pairs = np.stack([self._places(stems.dictionary_encode()), self._places(pa.array(ends, pa.string()).dictionary_encode())], axis=1)
-        word_lengths = self.lengths[pairs].sum(axis=1)
-        word_ids = self.ids[_shared.ranges(self.starts[pairs.ravel()], self.lengths[pairs.ravel()])]
+        self.store.make_room(len(words) + len(words))
+        pairs = np.stack([self.store.places(x.dictionary_encode(), self._learn) for x in (stems, pa.array(ends, pa.string()))], axis=1)
+        lengths, word_ids = self.store.gather(pairs.ravel())
+        word_lengths = lengths.reshape(-1, 2).sum(axis=1)
         word_starts = np.cumsum(word_lengths) - word_lengths
         if end_id is not None:  # as one more word after each text
             word_starts, word_lengths = np.append(word_starts, len(word_ids)), np.append(word_lengths, 1)
@@ -289,7 +259,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int |
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(shards or _shared.input_splits(rows), "doc_id", tie).sortWithinPartitions("doc_id", tie)
     records = _shared.arrow(rows, encode, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", TERMINATOR.decode()).text(folder)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", TERMINATOR.decode()).option("compression", "none").text(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:

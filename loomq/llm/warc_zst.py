@@ -166,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:
     rows = with_revisits(pages)
     rows = rows.select("page_id", "url", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes", "sha1", "record_type", "refers_to")
     frames = _shared.arrow(rows, encode, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).text(folder)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).option("compression", "none").text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str, *, payloads: bool = False) -> DataFrame:
