@@ -385,7 +385,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) ->
 
     labels = components(links.select(F.col("c").alias("a"), F.col("root").alias("b")))
     found = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = found.groupBy("label").agg(F.min("first").alias("component_id"))
+    # a table of its own, so that the join below can split a component that holds many classes
+    least = _shared.written(found.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     counted = links.groupBy("c").agg(F.sum("links").alias("links"))
     by_class = found.join(least, "label").join(counted, "c", "left").select("c", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     by_class = _shared.written(by_class, "classes")
@@ -403,6 +404,8 @@ def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 75) -> DataFr
     gone, nth = _shared.fresh(docs, "_gone"), _shared.fresh(docs, "_nth")
     found = jaccard_components(docs, words=words, percent=percent)
     drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    left = docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")
+    held = docs.where("doc_id is not null")
+    left = held.join(drop, held["doc_id"] == drop[gone], "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
-    return left.withColumn(nth, first).where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = left.withColumn(nth, first).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id is null"))  # which may be many, and need no grouping
