@@ -86,7 +86,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 def _batches(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for b in batches:
-        for at, n in _shared.slices(b.column(column)):
+        for at, n in _shared.slices(b.column(column), 4 << 20):
             part = b.slice(at, n)
             yield part, part.column(column)
 
