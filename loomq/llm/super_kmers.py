@@ -230,6 +230,7 @@ def common_ranges(rows: DataFrame, width: int) -> DataFrame:
     key = F.sha2("words", 256).alias("key")
     windows = rows.select(key, "doc_id", "row", "at")
     least = windows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    least = _shared.written(least, "least")  # a table of its own, so that the join can split a key that very many have
     return windows.join(least, "key").where("doc_id > least").select("doc_id", "row", F.col("at").alias("a"), (F.col("at") + width).alias("b"))
 
 
