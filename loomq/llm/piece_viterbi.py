@@ -38,7 +38,7 @@ UNKNOWN_PENALTY = 10.0
 class Pieces:
     """A model file's pieces, ready for search."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from sentencepiece import sentencepiece_model_pb2
 
         with open(path, "rb") as f:
@@ -218,7 +218,7 @@ _pieces: dict[str, Pieces] = {}
 
 
 def pieces(path: str) -> Pieces:
-    """This worker's Pieces of a model file: tasks that follow each other in a worker share it."""
+    """This worker's Pieces of a model file: tasks that follow each other in a worker share them."""
     if path not in _pieces:
         _pieces.clear()
         _pieces[path] = Pieces(path)
@@ -246,6 +246,7 @@ def encoded(docs: DataFrame, model: str, *, check: bool = False) -> DataFrame:
                     digests = [hashlib.sha256(x.encode()).hexdigest() for x in held.decode(counts, ids)]
                     columns += [pa.array(counts, mask=~valid), pa.array(digests, pa.string(), mask=~valid)]
                 yield pa.record_batch(columns, schema=pa.schema(fields))
+        held.store.clear()  # a worker that waits for other work holds the pieces only
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return _shared.arrow(rows, encode, "doc_id long, ids array<int>" + ", n_ids long, decoded_sha256 string" * check)
