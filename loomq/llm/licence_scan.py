@@ -40,7 +40,7 @@ def one_spelling(words: Column) -> Column:
     return F.when(words.rlike(_ANY_SPELLING), spelled).otherwise(words)
 
 
-#: Short licence texts and notices in full. Longer ones come in through `known`, a parameter of every call.
+#: Short licence texts and notices in full. Longer ones come in through `known`, a parameter of every call; licence_texts.common() has them.
 KNOWN = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
@@ -55,22 +55,23 @@ KNOWN = {
 def canonical_text(text: str) -> str:
     """The same as canonical() and one_spelling() on the driver, for known texts."""
     x = text.lower()
-    x = re.sub(r"(?:^|\n)[^\w\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*", "", x)
+    x = re.sub(r"(?:^|\n)(?:_|[^\w\n])*(?:copyright|\(c\)|©|all rights reserved)[^\n]*", "", x)
     x = f"  {'  '.join(re.findall(r'[^\W_]+', x))}  "
     for old, new in SPELLINGS:
         x = x.replace(f" {old.replace(' ', '  ')} ", f" {new.replace(' ', '  ')} ")
     return x.strip().replace("  ", " ")
 
 
-def digests(known: Mapping[str, str]) -> dict[str, str]:
-    """Canonical SHA-256 -> licence; equal canonical texts keep the first name in order."""
+def digests(known: Mapping[str, str | tuple[str, ...]]) -> dict[str, str]:
+    """Canonical SHA-256 -> licence, of each of its forms; equal canonical texts keep the first name in order."""
     out: dict[str, str] = {}
     for name in sorted(known):
-        out.setdefault(hashlib.sha256(canonical_text(known[name]).encode()).hexdigest(), name)
+        for text in [known[name]] if isinstance(known[name], str) else known[name]:
+            out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
     return out
 
 
-def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN, *, lines: bool = True) -> DataFrame:
+def scan(docs: DataFrame, known: Mapping[str, str | tuple[str, ...]] = KNOWN, *, lines: bool = True) -> DataFrame:
     """doc_id, digest (of the whole canonical text), licence (null if unknown), and the known notices among its lines.
 
     One row a row of docs (doc_id, text). The known table is a parameter, so its size bounds what is broadcast: the join

@@ -61,8 +61,9 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licence_scan import scan
+    from .licence_texts import common
 
-    found = scan(_shared.table(spark, sf_dir, "documents"))
+    found = scan(_shared.table(spark, sf_dir, "documents"), common())
     return found.withColumn("notices", F.array_join("notices", ","))
 
 
