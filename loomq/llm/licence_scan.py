@@ -18,9 +18,27 @@ SPELLINGS = (
     ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("per cent", "percent"),
 )
 _SPELLING = dict(SPELLINGS)
-#: A line that only states a copyright; and what separates the words of a canonical text.
+#: The lines that oracle()'s SQL takes for statements of copyright; and what separates the words of a canonical text.
 COPYRIGHT_LINE = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
+#: Words that go on after "copyright", or after "(c)" as an item of a list, where a licence's own words were wrapped there.
+GOES_ON = {
+    "copyright": "also and are as by disclaimers? doctrines? does file for grants? holders? if in information infringements? interests? is law laws legends? licen[cs]e[ds]? like lines? management marks? may must notices? of on or owners? ownership page patents? permissions? protection registration resulting rights? shall statements? status terms that this those to treat(?:y|ies) under which will with".split(),
+    "(c)": "a all an and any are as at by each for from if in is it its no on or representations such that this to under where which with you your".split(),
+}
+#: Whoever "copyright the ..." and "(c) the ..." name, if it is a statement.
+HOLDERS = "authors?|contributors?|developers?|maintainers?|committers|project|team|foundation|regents|university|institute|company|corporation|inc|ltd|llc|group|association|consortium|community"
+
+
+def statement(word: str, other: str) -> str:
+    """A lower-case line that only states a copyright: the sign, or (c) or the word with a year or a holder; word and other are patterns of one character."""
+    end = f"(?!{word})"
+    copyright, item = (rf"(?!(?:the|{'|'.join(x)}){end})" for x in GOES_ON.values())
+    the = rf"the{end}[^\n]*(?<!{word})(?:{HOLDERS}){end}"
+    return rf"(?:^|\n){other}*(?:©|all rights reserved|copyrights?{end}{other}*(?:\(c\)|©|{copyright}{word}|{the})|\(c\){other}*(?:©|{item}{word}|{the}))[^\n]*"
+
+
+_STATEMENT, _STATEMENT_RE = statement(r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\n]"), re.compile(statement(r"[^\W_]", r"(?:_|[^\w\n])"))
 #: Only texts that hold one of these go through the replacement of spellings, which leaves all others as they are.
 _ANY_SPELLING = "|".join(old for old, _ in SPELLINGS)
 
@@ -28,7 +46,7 @@ _ANY_SPELLING = "|".join(old for old, _ in SPELLINGS)
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, words joined by one space, one spelling each; null is empty."""
     x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.when(F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("all rights reserved")), F.regexp_replace(x, COPYRIGHT_LINE, "")).otherwise(x)
+    x = F.when(F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("all rights reserved")), F.regexp_replace(x, _STATEMENT, "")).otherwise(x)
     return F.trim(F.regexp_replace(x, BETWEEN_WORDS, " "))
 
 
@@ -54,8 +72,7 @@ KNOWN = {
 
 def canonical_text(text: str) -> str:
     """The same as canonical() and one_spelling() on the driver, for known texts."""
-    x = text.lower()
-    x = re.sub(r"(?:^|\n)(?:_|[^\w\n])*(?:copyright|\(c\)|©|all rights reserved)[^\n]*", "", x)
+    x = _STATEMENT_RE.sub("", text.lower())
     x = f"  {'  '.join(re.findall(r'[^\W_]+', x))}  "
     for old, new in SPELLINGS:
         x = x.replace(f" {old.replace(' ', '  ')} ", f" {new.replace(' ', '  ')} ")

@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -27,3 +28,18 @@ def test_lookup(spark, odd, none):
     rows = ls.scan(odd).collect()
     assert len(rows) == odd.count() and {r.digest for r in rows if r.doc_id == 1} == {hashlib.sha256(b"").hexdigest()}
     assert ls.scan(none).count() == 0 and ls.scan(df, {}).count() == len(texts)
+
+
+def test_wrapped_licences(spark):
+    wrap = lambda t, width: textwrap.fill(t, width, break_long_words=False, break_on_hyphens=False)
+    isc = ls.KNOWN["ISC"].replace("that the above ", "that the above\n")
+    mit = "Copyright 2020 Some One\n" + ls.KNOWN["MIT"].replace("AUTHORS OR ", "AUTHORS OR\n")
+    cases = [("ISC", isc), ("MIT", mit)] + [(n, wrap(ls.KNOWN[n], w)) for n in ("MIT", "ISC", "0BSD") for w in (1, 24, 40, 61, 72, 79, 80)]
+    df = spark.createDataFrame([(k, t, None, None) for k, (_, t) in enumerate(cases)], SCHEMA)
+    got = {r.doc_id: r.licence for r in ls.scan(df).collect()}
+    assert [got[k] for k in range(len(cases))] == [n for n, _ in cases]
+    gone = ["Copyright 2020 X", "  * Copyright (c) The Authors", "(C) 2021-2022 Me", "Copyright: Some One", "Copyright the Go Authors", "© any one", "All rights reserved."]
+    stay = ["copyright notice, this list", "COPYRIGHT HOLDERS BE LIABLE", "copyright owner or", "(c) You must retain", "(c) the licenses granted", "Copyright", "copyright law.", "copyrighted works"]
+    lines = spark.createDataFrame([(f"{t}\nend",) for t in gone + stay], "t string").select("t", ls.one_spelling(ls.canonical(F.col("t"))).alias("c")).collect()
+    assert [r.c == "end" for r in lines] == [True] * len(gone) + [False] * len(stay)
+    assert all(r.c == ls.canonical_text(r.t) for r in lines)
