@@ -4,7 +4,8 @@ Base kinds are email, ip, card and phone, found leftmost and non-overlapping, ea
 check refuses is dropped, with no second try inside it. They always stand; the score only ranks them. Added kinds stand
 if their score reaches the threshold:
 
-    iban   country, two check digits, 11 to 30 more, of the country's length where that is known; mod-97 must be 1
+    iban   country, two check digits, 11 to 30 more, of the country's length where that is known, else up to the last end of
+           a word where mod-97 is 1; mod-97 must be 1; words that follow after a space are not part of it
     ssn    ddd-dd-dddd of an issuable number; without a context word its score stays under the threshold
 
 Offsets are code points, ends exclusive. Null text is empty text and gives no spans.
@@ -30,7 +31,9 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+_GOES_ON = re.compile(r"[A-Za-z0-9]")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 #: Characters of an IBAN by country.
@@ -71,6 +74,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _iban_end(text: str, start: int, after: int) -> int | None:
+    """Where the IBAN whose country and check digits are text[start:after] ends: at its country's length, else at the last end of a word that passes mod-97."""
+    rest = _IBAN_REST.match(text, after)
+    if not rest:
+        return None
+    length, size = IBAN_LENGTH.get(text[start : start + 2]), 4
+    ends = []
+    for k in range(after, rest.end()):
+        size += text[k] != " "
+        if text[k] != " " and (size == length if length else size >= 15) and not _GOES_ON.match(text, k + 1):
+            ends.append(k + 1)
+    return next((e for e in reversed(ends) if mod97(text[start:e].replace(" ", ""))), None)
+
+
 def _proposals(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of all that patterns propose and checks confirm."""
     if "@" in text:
@@ -88,10 +105,11 @@ def _proposals(text: str) -> Iterator[tuple[int, int, str]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield m.start(), m.end(), "phone"
+    free = 0
     for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if IBAN_LENGTH.get(code[:2], len(code)) == len(code) and mod97(code):
-            yield m.start(), m.end(), "iban"
+        if m.start() >= free and (end := _iban_end(text, m.start(), m.end())):
+            yield m.start(), end, "iban"
+            free = end
     for m in _SSN.finditer(text):
         yield m.start(), m.end(), "ssn"
 

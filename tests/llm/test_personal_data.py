@@ -59,3 +59,19 @@ def test_frames(spark, odd, none):
     assert p.find_spans(none).count() == 0
     masked = p.redacted(odd)
     assert masked.columns == odd.columns and masked.count() == odd.count()
+
+
+def test_ibans_in_running_text():
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "AE07 0331 2345 6789 0123 456", "SA0380000000608010167519"):
+        for after in ("", " BIC COBADEFFXXX", " I said", " 2024-01-05", " 12", " Bank", " ok", " GB82WEST12345698765432", ", B", "\nA1", "é"):
+            text = f"IBAN {iban}{after}"
+            spans = [text[s:e] for k, s, e, _ in p.find(text) if k == "iban"]
+            if iban[:2] in p.IBAN_LENGTH:
+                assert spans == [iban] + ["GB82WEST12345698765432"] * after.startswith(" GB"), text
+            else:  # of unknown length: the longest that passes, so all of it at least
+                assert spans[0].startswith(iban), text
+    assert p.redact("IBAN AE07 0331 2345 6789 0123 456 BIC COBADEFFXXX") == "IBAN <IBAN> BIC COBADEFFXXX"
+    assert p.redact("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == "IBAN <IBAN> BIC COBADEFFXXX"
+    # nothing inside longer words, and a refused proposal does not hide one that begins within it
+    assert not [x for x in p.find("XDE89370400440532013000 DE89370400440532013000X DE89370400440532013000123") if x[0] == "iban"]
+    assert [x[:3] for x in p.find("AB12 DE89 3704 0044 0532 0130 00") if x[0] == "iban"] == [("iban", 5, 32)]
