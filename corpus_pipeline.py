@@ -28,8 +28,8 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated by a Poisson count whose mean brings their source to its weight."""
-    return source_mix.mixed(docs, source_mix.WEIGHTS).select(*docs.columns)
+    """Documents are repeated by a Poisson count whose mean brings their source to its weight; other sources' and null's has mean 1."""
+    return source_mix.mixed(docs, source_mix.WEIGHTS, others=source_mix.OTHERS).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,9 +54,9 @@ def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .source_mix import WEIGHTS, mixed
+    from .source_mix import OTHERS, WEIGHTS, mixed
 
-    return mixed(_shared.table(spark, sf_dir, "documents"), WEIGHTS)
+    return mixed(_shared.table(spark, sf_dir, "documents"), WEIGHTS, others=OTHERS)
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,8 @@ def mixed(docs: DataFrame, weights: Mapping[str, float], *, total: float | None
 
 #: Production weights: the large source is held to a fifth, nineteen others share the rest evenly.
 WEIGHTS = {"src0": 0.2} | {f"src{k}": 0.8 / 19 for k in range(1, 20)}
+#: Production rate of documents of any other source, null among them: as many as there are, in expectation.
+OTHERS = 1.0
 
 
 def oracle(weights: Mapping[str, float], seed: str = "mix", documents: str = "documents", columns: str = "doc_id, source") -> str:

@@ -50,3 +50,14 @@ def test_odd_rows(odd, none):
     assert m.mixed(none, {"a": 1.0}).count() == 0 and m.mixed(odd, {}).count() == 0
     with pytest.raises(ValueError, match="weights"):
         m.mixed(odd, {"a": -1.0})
+
+
+def test_production_rate_of_unlisted_sources(spark, tmp_path):
+    import corpus_pipeline
+    from loomq.llm import queries
+
+    df = spark.range(9000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "CASE id % 3 WHEN 0 THEN 'src1' WHEN 1 THEN 'books' END AS source", "1 AS n_chars")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op6_source_mix(spark, str(tmp_path)), corpus_pipeline.mix(spark, df, str(tmp_path))):
+        n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+        assert n.keys() == {"src1", "books", None} and all(x == pytest.approx(3000, rel=0.08) for x in n.values())
