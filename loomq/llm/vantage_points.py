@@ -3,12 +3,22 @@
 Inner products become distances: with M the largest norm, a vector x gets one more component sqrt(M*M - |x|*|x|) and a
 query q gets a zero, so that |q' - x'|**2 = |q|**2 + M*M - 2 q.x. A subtree on the far side of a vantage point's sphere
 is skipped if factor * |distance - radius| exceeds the query's k-th best distance. Factor 1 is the triangle inequality
-and gives exact search; a larger factor skips more. Every vector is indexed, and every shard is searched by every query,
-in blocks of queries; scores are worked out anew in double precision on the original vectors.
+and gives exact search; a larger factor skips more. Every vector is indexed, and every shard is searched by every query.
 
-Equal vectors of a shard are one point with their ids; of one point no more than k + 1 ids can be among a query's k
-nearest, so that is all that is given out. Vectors that are null, empty, zero, or hold a null or a non-finite component take no
-part. Vectors of different lengths are never compared. Rows of one vec_id count as one vector each.
+One task builds a shard's tree and keeps it; blocks of queries stream past it, each a row of bounded size, and k
+candidates a query leave it. So what is shuffled is the vectors once, and the queries once a shard.
+
+Where no factor is asked for, each shard takes the largest one whose recall, measured on SAMPLE of its own points against
+brute force, reaches RECALL; so data that prune badly are searched in full.
+
+Candidates are ordered by score, then by the least id that is not the query's own, in the search as in the result; points
+that tie with the k-th are weighed by that id, and none is lost. Equal vectors of a shard are one point with their ids.
+
+Defined cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do rows
+without vec_id. Vectors of different lengths are never compared. Each row is a candidate of its own, also where rows share
+a vec_id; no row of the query's vec_id is among its candidates. Equal rows of a query's vec_id ask once; rows of one query
+id with different vectors are asked each, and what they find is ranked together. With fewer candidates than k, all are given;
+an empty table of either kind gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,18 +28,18 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _shared
 
-SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 512, 1024
-#: Measured on 50,000 vectors of 64 components in four shards: recall 0.999 at rank 20; 0.93 at factor 8.
-FACTOR = 4.0
-#: Points kept beyond k while searching, so that rounding in the search cannot push out one that belongs.
-SPARE = 4
+#: A shard holds this many vectors at most, and this many bytes of them; a block of queries as well.
+SHARD_ROWS, SHARD_BYTES, QUERY_ROWS, QUERY_BYTES = 32_768, 32 << 20, 1024, 1 << 20
+LEAF = 128
+#: What a shard tries, in turn, where no factor is given: points that it samples, the recall to reach, and the factors.
+SAMPLE, RECALL, FACTORS = 64, 0.97, (8.0, 5.6, 4.0, 2.8, 2.0, 1.4, 1.2)
+_NONE = np.iinfo(np.int64).max
 
 
 def usable(vector: Column) -> Column:
@@ -45,15 +55,26 @@ class Tree:
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order], np.float64)
         keys = vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        inverse = inverse.ravel()
         by_point = np.argsort(inverse, kind="stable")
         self.ids, self.id_starts = ids[by_point], np.concatenate([[0], np.cumsum(np.bincount(inverse))])
-        self.points = vectors[first]
-        self.largest = largest
+        self.points, self.largest = vectors[first], largest
         norms = np.einsum("ij,ij->i", self.points, self.points)
         self.extra = np.sqrt(np.maximum(0.0, largest * largest - norms))
         self.order = np.arange(len(first))
         self.nodes: list[tuple[int, float, int, int, int, int]] = []  # vantage point, radius, left, right, from, to
         self._build(0, len(first), np.random.default_rng(seed))
+        self._ready()
+
+    def _ready(self) -> None:
+        """What follows from ids, points and order."""
+        self.least = self.ids[self.id_starts[:-1]]
+        # of each point, the least id after its least one: what counts for the query whose own id is the least
+        point_of = np.repeat(np.arange(len(self.points)), np.diff(self.id_starts))
+        self.second = np.full(len(self.points), _NONE)
+        np.minimum.at(self.second, point_of, np.where(self.ids > self.least[point_of], self.ids, _NONE))
+        self.leaf_points = self.points[self.order]  # leaves side by side, so that a leaf is a slice
+        self.seen = self.asked = 0  # pairs of query and point that were weighed, and that there are
 
     def _build(self, a: int, b: int, rng: np.random.Generator) -> int:
         at = len(self.nodes)
@@ -71,112 +92,220 @@ class Tree:
         self.nodes[at] = (v, radius, left, right, a, b)
         return at
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-        """For each row of queries the places of about its k nearest points."""
-        self.queries = queries
-        self.square = np.einsum("ij,ij->i", queries, queries) + self.largest**2
-        self.best = np.full((len(queries), k), np.inf)
-        self.found = np.full((len(queries), k), -1, np.int64)
-        self._visit(0, np.arange(len(queries)), factor)
-        return [f[f >= 0] for f in self.found]
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of queries, by score and then by least id other than its own: scores, those ids and places of its k first points.
+
+        Rows are filled up with a score of -inf.
+        """
+        n = len(queries)
+        self.own, self.queries = own, queries
+        self.norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        self.square = self.norms**2 + self.largest**2
+        # rounding: of products against scores as given out, and of distances near zero, which are roots of differences
+        self.slack = 1e-12 * self.norms * self.largest
+        self.far_slack = 1e-7 * np.sqrt(self.square)
+        self.scores, self.found_ids, self.found = np.full((n, k), -np.inf), np.full((n, k), _NONE), np.full((n, k), -1, np.int64)
+        self.asked += n * len(self.points)
+        self._visit(0, np.arange(n), factor)
+        return self.scores, self.found_ids, self.found
 
     def _visit(self, at: int, q: np.ndarray, factor: float) -> None:
         if not len(q):
             return
         v, radius, left, right, a, b = self.nodes[at]
         if v < 0:
-            here = self.order[a:b]
-            d = self.square[q, None] - 2 * (self.queries[q] @ self.points[here].T)
-            both = np.concatenate([self.best[q], np.sqrt(np.maximum(d, 0.0))], axis=1)
-            who = np.concatenate([self.found[q], np.broadcast_to(here, d.shape)], axis=1)
-            k = self.best.shape[1]
-            pick = np.argpartition(both, k - 1, axis=1)[:, :k]
-            self.best[q], self.found[q] = np.take_along_axis(both, pick, 1), np.take_along_axis(who, pick, 1)
+            self._leaf(a, b, q)
             return
         d = np.sqrt(np.maximum(0.0, self.square[q] - 2 * (self.queries[q] @ self.points[v])))
         inside = d <= radius
         self._visit(left, q[inside], factor)
         self._visit(right, q[~inside], factor)
-        near = factor * np.abs(d - radius) <= self.best[q].max(axis=1) * (1 + 1e-9)
+        kth = np.sqrt(np.maximum(0.0, self.square[q] - 2 * np.maximum(self.scores[q, -1], -1e300)))
+        near = ~np.isfinite(self.scores[q, -1]) | (factor * (np.abs(d - radius) - self.far_slack[q]) <= kth + self.far_slack[q])
         self._visit(right, q[inside & near], factor)
         self._visit(left, q[~inside & near], factor)
 
-    def answer(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores): each query's k nearest but for its own id, best first, ties to smaller ids."""
+    def _leaf(self, a: int, b: int, q: np.ndarray) -> None:
+        """Weighs a leaf's points for the queries q against what they have found."""
+        k = self.scores.shape[1]
+        self.seen += len(q) * (b - a)
+        near = self.queries[q] @ self.leaf_points[a:b].T
+        bar = self.scores[q, -1]
+        if b - a > k:  # a leaf that begins a query's search sets a bar of its own, one point more as its own may go
+            first = np.flatnonzero(~np.isfinite(bar))
+            if len(first):
+                bar = bar.copy()
+                bar[first] = np.partition(near[first], b - a - k - 1, axis=1)[:, b - a - k - 1]
+        who, place = np.nonzero(near >= (bar - self.slack[q])[:, None])
+        if not len(who):
+            return
+        rows, points = q[who], self.order[a + place]
+        ids = np.where(self.least[points] == self.own[rows], self.second[points], self.least[points])
+        keep = ids != _NONE
+        rows, points, ids, who = rows[keep], points[keep], ids[keep], who[keep]
+        step = max(1, (4 << 20) // self.points.shape[1])
+        scores = np.concatenate([(self.points[points[i : i + step]] * self.queries[rows[i : i + step]]).sum(axis=1) for i in range(0, len(rows), step)] or [np.zeros(0)])
+        touched = np.unique(rows)
+        slot = np.searchsorted(touched, rows)
+        all_scores = np.concatenate([scores, self.scores[touched].ravel()])
+        all_ids = np.concatenate([ids, self.found_ids[touched].ravel()])
+        all_points = np.concatenate([points, self.found[touched].ravel()])
+        slots = np.concatenate([slot, np.repeat(np.arange(len(touched)), k)])
+        order = np.lexsort((all_ids, -all_scores, slots))
+        starts = np.searchsorted(slots[order], np.arange(len(touched)))
+        best = order[starts[:, None] + np.arange(k)]
+        self.scores[touched], self.found_ids[touched], self.found[touched] = all_scores[best], all_ids[best], all_points[best]
+
+    def answer(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of queries, id and score of each query's k nearest but for its own id, best first, ties to smaller ids.
+
+        Each of the k first points gives at most k ids: those of the others come after them.
+        """
         queries = np.ascontiguousarray(queries, np.float64)
-        for own, q, points in zip(ids.tolist(), queries, self.search(queries, k + 1 + SPARE, factor), strict=True):
-            scores = (self.points[points] * q).sum(axis=1)
-            counts = np.minimum(self.id_starts[points + 1] - self.id_starts[points], k + 1)
-            all_ids = self.ids[_shared.ranges(self.id_starts[points], counts)]
-            all_scores = np.repeat(scores, counts)
-            keep = all_ids != own
-            all_ids, all_scores = all_ids[keep], all_scores[keep]
-            top = np.lexsort((all_ids, -all_scores))[:k]
-            yield own, all_ids[top], all_scores[top]
+        scores, _, points = self.search(own, queries, k, factor)
+        who, column = np.nonzero(points >= 0)
+        points, scores = points[who, column], scores[who, column]
+        # ids of a point are in order; its own, if among them, is left out before the cut
+        counts = self.id_starts[points + 1] - self.id_starts[points]
+        owned = self._count(points, own[who])
+        ids = self.ids[_shared.ranges(self.id_starts[points], np.minimum(counts, k + owned))]
+        rows, values = (np.repeat(x, np.minimum(counts, k + owned)) for x in (who, scores))
+        keep = ids != own[rows]
+        rows, ids, values = rows[keep], ids[keep], values[keep]
+        order = np.lexsort((ids, -values, rows))
+        rows, ids, values = rows[order], ids[order], values[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        return rows[nth < k], ids[nth < k], values[nth < k]
+
+    def _count(self, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How many of each point's ids are ids."""
+        out = np.zeros(len(points), np.int64)
+        for i in np.flatnonzero((ids >= self.least[points]) & (ids <= self.ids[self.id_starts[points + 1] - 1])).tolist():
+            mine = self.ids[self.id_starts[points[i]] : self.id_starts[points[i] + 1]]
+            out[i] = np.searchsorted(mine, ids[i], "right") - np.searchsorted(mine, ids[i], "left")
+        return out
+
+    def factor_for(self, k: int, recall: float = RECALL, sample: int = SAMPLE) -> float:
+        """The largest of FACTORS with which `sample` of the points find `recall` of their k nearest; 1 if none does.
+
+        Points are taken evenly by least id, so the choice depends on the shard's rows alone.
+        """
+        n = len(self.points)
+        if n <= LEAF:
+            return 1.0
+        seen, asked = self.seen, self.asked
+        picked = np.argsort(self.least, kind="stable")[np.linspace(0, n - 1, min(sample, n)).astype(np.int64)]
+        own, queries = self.least[picked], self.points[picked]
+        row = np.arange(len(picked))[:, None] * n
+
+        def found(factor: float) -> np.ndarray:
+            points = self.search(own, queries, k, factor)[2]
+            return (points + row)[points >= 0]
+
+        out, wanted = 1.0, found(1.0)
+        for factor in FACTORS:
+            if np.isin(wanted, found(factor)).sum() >= recall * len(wanted):
+                out = factor
+                break
+        self.seen, self.asked = seen, asked
+        return out
+
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        nodes = np.array(self.nodes, np.float64)
-        np.savez(out, ids=self.ids, id_starts=self.id_starts, points=self.points, extra=self.extra, order=self.order, nodes=nodes, largest=np.array(self.largest))
+        np.savez(out, ids=self.ids, id_starts=self.id_starts, points=self.points, order=self.order, nodes=np.array(self.nodes, np.float64), largest=np.array(self.largest))
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Tree:
         self, held = cls.__new__(cls), np.load(io.BytesIO(data))
-        self.ids, self.id_starts, self.points, self.extra, self.order = (held[x] for x in ("ids", "id_starts", "points", "extra", "order"))
+        self.ids, self.id_starts, self.points, self.order = (held[x] for x in ("ids", "id_starts", "points", "order"))
         self.largest = float(held["largest"])
         self.nodes = [(int(v), r, int(x), int(y), int(a), int(b)) for v, r, x, y, a, b in held["nodes"].tolist()]
+        self._ready()
         return self
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def packed(asked: DataFrame, query_rows: int, element: str) -> DataFrame:
+    """(dim, ids, vectors) blocks of the rows of asked (vec_id, embedding, dim), each batch by itself: nothing is shuffled."""
+    number = "<f4" if element == "float" else "<f8"
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            out = []
+            for dim in np.unique(dims).tolist():
+                here = b.filter(pa.array(dims == dim))
+                step = max(1, min(query_rows, QUERY_BYTES // (8 * dim)))
+                for k in range(0, here.num_rows, step):
+                    part = here.slice(k, step)
+                    out.append((dim, part.column(0).to_numpy().astype("<i8").tobytes(), _matrix(part.column(1), dim).astype(number).tobytes()))
+            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=("dim", "ids", "vectors"))
+
+    return _shared.arrow(asked.select("vec_id", "embedding", "dim"), pack, "dim int, ids binary, vectors binary")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, factor: float | None = None, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest of vectors, its own vec_id left out.
 
-    Both tables are (vec_id, embedding). shard_rows and query_rows bound what one task holds at a time.
+    Both tables are (vec_id, embedding). shard_rows and query_rows bound what one task holds at a time. factor: None lets
+    each shard choose; 1 is exact.
     """
-    if factor < 1 or k < 1:
+    if k < 1 or (factor is not None and factor < 1):
         raise ValueError("factor and k must be 1 or more")
+    spark = vectors.sparkSession
+    element = "float" if all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (vectors, queries)) else "double"
+    number = "<f4" if element == "float" else "<f8"
 
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].cast("array<double>").alias("embedding"))
+        df = df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].cast(f"array<{element}>").alias("embedding"))
         return df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).withColumn("dim", F.size("embedding"))
 
     held, asked = clean(vectors), clean(queries)
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    size = held.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m")).first()
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"), F.max("dim").alias("dim")).first()
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (8 * (size.dim or 1))))
     shards, largest = max(1, math.ceil(size.n / shard_rows)), math.sqrt(size.m or 0.0) * (1 + 1e-12)
-    blocks = max(1, math.ceil(asked.count() / query_rows))
-
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_list()), largest)
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [tree.dump()]})
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        raw = np.stack(rows["embedding"].to_list()).astype("<f8")
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [rows["vec_id"].to_numpy("<i8").tobytes()], "vectors": [raw.tobytes()]})
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tree = None
+        """Rows in order of shard, length, and vectors before blocks of queries: one shard's vectors of one length are held at a time."""
+        at = tree = None
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+        use = factor
         for b in batches:
-            for dim, shard, data, ids, raw in zip(*(b.column(i) for i in range(5)), strict=True):
-                if key != (key := (dim.as_py(), shard.as_py())):
-                    tree = Tree.load(data.as_py())
-                asks = np.frombuffer(ids.as_py(), "<i8")
-                found = list(tree.answer(asks, np.frombuffer(raw.as_py(), "<f8").reshape(len(asks), dim.as_py()), k, factor))
-                yield pa.record_batch({
-                    "query_id": pa.array(np.repeat(asks, [len(x) for _, x, _ in found]), pa.int64()), "vec_id": pa.array(np.concatenate([x for _, x, _ in found]), pa.int64()), "score": pa.array(np.concatenate([s for _, _, s in found])),
-                })
-
-    part = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    _shared.ship(vectors.sparkSession)
-    trees = held.withColumn("shard", part(shards)).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary")
-    trees = _shared.written(trees, "trees")
-    asks = asked.withColumn("block", part(blocks)).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, vectors binary")
-    asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    # a block meets each shard once: blocks * shards rows, each of bounded size
-    met = trees.join(asks, ["dim", "shard"]).select("dim", "shard", "tree", "ids", "vectors")
-    met = met.repartition(max(shards, blocks), "dim", "shard", F.xxhash64("ids")) if shards * blocks > 1 else met
-    found = _shared.arrow(met, search, "query_id long, vec_id long, score double")
+            keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+            asking = np.asarray(b.column(4).is_valid())
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (asking[1:] != asking[:-1])]) if len(keys) else []
+            for s, e in zip(edges, [*edges[1:], len(keys)], strict=True):
+                if at != (at := tuple(keys[s].tolist())):
+                    rows, tree = [], None
+                part = b.slice(s, e - s)
+                if not asking[s]:
+                    rows.append((part.column(2).to_numpy(), _matrix(part.column(3), at[1])))
+                    continue
+                if not rows:
+                    continue  # nothing of this length in this shard
+                if tree is None:
+                    tree = Tree(np.concatenate([x for x, _ in rows]), np.concatenate([x for _, x in rows]), largest)
+                    rows = [(np.zeros(0, np.int64), np.zeros((0, at[1])))]
+                    use = tree.factor_for(k) if factor is None else factor
+                for ids, raw in zip(part.column(4), part.column(5), strict=True):
+                    own = np.frombuffer(ids.as_buffer(), "<i8")
+                    who, found, scores = tree.answer(own, np.frombuffer(raw.as_buffer(), number).reshape(len(own), at[1]), k, use)
+                    yield pa.record_batch([pa.array(own[who]), pa.array(found), pa.array(scores)], schema=schema)
+
+    none = lambda t: F.lit(None).cast(t)
+    shard = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")
+    points = held.select(shard.alias("shard"), "dim", "vec_id", "embedding", none("binary").alias("ids"), none("binary").alias("vectors"))
+    blocks = _shared.written(packed(asked.dropDuplicates(["vec_id", "embedding"]), query_rows, element), "blocks")
+    blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", none("long").alias("vec_id"), none(f"array<{element}>").alias("embedding"), "ids", "vectors")
+    rows = points.union(blocks).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", F.col("ids").isNotNull())
+    found = _shared.arrow(rows, search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
