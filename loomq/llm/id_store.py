@@ -9,20 +9,23 @@ from . import _shared
 
 
 class IdStore:
-    """Strings, each with a run of ids. Emptied when it would pass `most` strings, so its memory is bounded."""
+    """Strings, each with a run of ids. Emptied when it would pass `most` strings, or has passed most_bytes of text and ids.
 
-    def __init__(self, most: int = 1_000_000):
-        self.most = most
+    So it holds at most that and the strings of one batch, however long strings are.
+    """
+
+    def __init__(self, most: int = 1_000_000, most_bytes: int = 64 << 20):
+        self.most, self.most_bytes = most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.text = 0
 
     def make_room(self, n: int) -> None:
-        if len(self.place) + n > self.most:
+        if len(self.place) + n > self.most or self.text + 4 * self.used > self.most_bytes:
             self.clear()
 
     def keep(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
@@ -36,6 +39,7 @@ class IdStore:
         self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + len(words)] = lengths
         self.used += len(flat)
+        self.text += sum(map(len, words))
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
     def places(self, coded: pa.DictionaryArray, learn) -> np.ndarray:

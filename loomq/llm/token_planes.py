@@ -15,6 +15,7 @@ Planes above the highest set bit of a block are left out.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _shared
@@ -164,23 +165,38 @@ class ShardReader:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+#: Fixed value: the pattern of pre-tokens of word_bpe_49k.json. None holds white space, and none goes on over a full stop or comma after a letter or digit.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids, and folding ASCII words to lower case leaves them: from the tokenizer's own description."""
+    spec = json.loads(tokenizer.to_str())
+    steps = (spec["normalizer"] or {}).get("normalizers", [])
+    split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    removed = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and split.get("pattern") == {"Regex": PRE_TOKENS}
+    return removed and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+
+
 class WordTokens:
     """Ids of whole texts from those of their words, each distinct word encoded once and kept.
 
-    Right for tokenizers that end every token at ASCII white space and drop it, fold case, and end a token where a letter
-    or digit meets a full stop or comma, as word_bpe_49k.json does: a word's ids are then those of its stem and its end.
-    The store of stems is emptied at `most` of them, so its memory is bounded; the ids do not depend on it.
+    Right for tokenizers that by_words() knows; texts go whole to any other. A word that ends in full stops or commas after
+    an ASCII letter or digit is encoded as its stem and that end: normalisation leaves such a letter and what follows it
+    apart, and no pre-token goes on over the place. All other words are encoded whole, as a letter like the dotted capital I
+    may become one that ends in a mark, which would join the full stop.
+    The store is emptied at `most` strings or most_bytes of them, so its memory is bounded; the ids do not depend on it.
     """
 
     #: Between the words of one call; a word that holds it goes alone.
     BETWEEN = "<|endoftext|>"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, most_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.store = Tokenizer.from_file(path), IdStore(most)
-        self.between = self.tokenizer.token_to_id(self.BETWEEN)
+        self.tokenizer, self.store = Tokenizer.from_file(path), IdStore(most, most_bytes)
+        self.between, self.by_words = self.tokenizer.token_to_id(self.BETWEEN), by_words(self.tokenizer)
 
     def _learn(self, words: list[str], at_once: int = 256) -> None:
         plain = [w for w in words if w and self.BETWEEN not in w]
@@ -194,17 +210,25 @@ class WordTokens:
             coded = [x.ids for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
             self.store.keep(odd, np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.uint32))
 
+    def _whole(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        coded = [x.ids + [end_id] * (end_id is not None) for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.uint32)
+
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids; end_id follows each text."""
+        if not self.by_words:
+            return self._whole(texts, end_id)
         offsets, codes, words = _shared.words_of(texts)
-        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        # special tokens are found before case is folded, so words that may hold one stay as they are
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
         stems = pc.utf8_rtrim(words, characters=".,")
-        stems = pc.if_else(pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"), stems, words)
+        stems = pc.if_else(pc.match_substring_regex(stems, "[A-Za-z0-9]$"), stems, words)
         cut = pc.subtract(pc.utf8_length(words), pc.utf8_length(stems)).to_numpy(zero_copy_only=False)
         ends = [""] * len(words)
         for k in np.flatnonzero(cut).tolist():
             ends[k] = words[k].as_py()[-int(cut[k]) :]
-        self.store.make_room(len(words) + len(words))
+        self.store.make_room(2 * len(words))
         pairs = np.stack([self.store.places(x.dictionary_encode(), self._learn) for x in (stems, pa.array(ends, pa.string()))], axis=1)
         lengths, word_ids = self.store.gather(pairs.ravel())
         word_lengths = lengths.reshape(-1, 2).sum(axis=1)
@@ -296,15 +320,15 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 def token_index(docs: DataFrame, tokenizer: str, *, end_id: int | None = 1, bits: int = 1) -> DataFrame:
     """Writes docs as shards into the shared folder, reads them back, and gives each document's place among all ids.
 
-    doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian u32), shard.
+    doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian u32), shard. One row a
+    row of docs, those without doc_id first, null texts as empty ones, rows of one doc_id in the order of their texts' hashes;
+    an empty table gives no rows. A text of any length is encoded whole, and columns but doc_id and text are ignored.
     The result's lineage begins at the written table of digests, so no shard is read twice.
     """
     spark = docs.sparkSession
     folder = f"{_shared.shared_folder(spark)}/planes"
     write_shards(docs, folder, tokenizer, end_id=end_id, bits=bits)
     digests = _shared.written(read_shards(spark, folder).drop("ids"), "digests")
-    from pyspark.sql import Window
-
     totals = digests.groupBy("shard").agg(F.sum("n_tokens").alias("shard_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard, not a document
     offsets = totals.select("shard", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("shard_start"))

@@ -70,3 +70,40 @@ def test_ids_read_back(spark, tmp_path):
     t = Tokenizer.from_file(PATH)
     back = {r.doc_id: r.ids for r in tp.read_shards(spark, str(tmp_path / "s")).collect()}
     assert back == {k: [*t.encode(f"text number {k}", add_special_tokens=False).ids, 1] for k in range(50)}
+
+
+def fuzzed(n, seed=5):
+    """Strings of letters that fold or normalise oddly, marks, stops, spaces of all kinds and special tokens."""
+    import random
+
+    rng = random.Random(seed)
+    parts = [*"aBzé09İIıßǅΣςKÅक़़̧̈́́̇日語ﬁ①²…“’'.,.,!?-_<|> 　 ​‍😀", " ", "\n", "\t", "'s", "'LL", "İ.", "İ,", "É.", "क़.", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "word", "The", "1,000.5"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(n)]
+
+
+def test_ids_of_odd_strings_equal_the_tokenizer():
+    t, held = Tokenizer.from_file(PATH), tp.WordTokens(PATH)
+    texts = fuzzed(30_000)
+    counts, ids = held.encode(pa.array(texts), None)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    want = t.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [x for k, x in enumerate(texts) if ids[ends[k] : ends[k + 1]].tolist() != want[k].ids]
+    assert held.by_words and not wrong, wrong[:5]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    t, held = Tokenizer.from_file(path), tp.WordTokens(path)
+    texts = ["Hello world, two", "", *fuzzed(500, 6)]
+    counts, ids = held.encode(pa.array(texts), 1)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    assert not held.by_words and all(ids[ends[k] : ends[k + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in enumerate(texts))
+
+
+def test_a_very_long_text_and_a_store_bounded_by_bytes():
+    t, held = Tokenizer.from_file(PATH), tp.WordTokens(PATH, most_bytes=1 << 16)
+    text = " ".join(f"word{k % 5000}, {'ab' * (k % 40)}." for k in range(100_000))  # some 5 MB
+    counts, ids = held.encode(pa.array([text]), None)
+    assert counts.tolist() == [len(ids)] and ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    held.encode(pa.array(["next"]), None)
+    assert len(held.store.place) < 5  # emptied, as it had passed its bytes
