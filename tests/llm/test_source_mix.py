@@ -61,3 +61,39 @@ def test_production_rate_of_unlisted_sources(spark, tmp_path):
     for got in (queries.op6_source_mix(spark, str(tmp_path)), corpus_pipeline.mix(spark, df, str(tmp_path))):
         n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
         assert n.keys() == {"src1", "books", None} and all(x == pytest.approx(3000, rel=0.08) for x in n.values())
+
+
+def test_thresholds_of_any_mean():
+    for mean in (0.0, 300.5, 8_000.0, 1e5):
+        first, steps = m.bounded_thresholds(mean)
+        assert steps == sorted(steps) and steps[-1] == pytest.approx(1.0, abs=1e-11) and steps[0] < 1e-15 or not mean
+        assert len(steps) < 20 * math.sqrt(mean) + 40
+    first, steps = m.bounded_thresholds(1e5)
+    assert steps[100_000 - first] == pytest.approx(0.5 + 2 / (3 * math.sqrt(2 * math.pi * 1e5)), abs=1e-6)  # Poisson's median
+
+
+def test_very_large_rates_and_the_sql_at_such_means(spark):
+    import duckdb
+
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y", "b"), (3, "z", "b"), (None, "w", "b")], "doc_id bigint, text string, source string")
+    got = m.mixed(df, {"a": 100_000.0, "b": 300.0}, total=100_300)
+    n = {(r.doc_id, r.source): r["count"] for r in got.groupBy("doc_id", "source").count().collect()}
+    assert abs(n[1, "a"] - 100_000) < 6 * math.sqrt(1e5) and all(abs(x - 100) < 60 for (i, s), x in n.items() if s == "b")
+    docs = df.toPandas().convert_dtypes()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", docs)
+    for weights in ({"a": 3.0, "b": 1.0}, {"a": 1.0, "b": 999.0}):
+        sql = con.execute(m.oracle(weights, columns="doc_id, text, source")).fetchall()
+        assert sorted(map(str, sql)) == sorted(str(tuple(r)) for r in m.mixed(df, weights).select("doc_id", "text", "source", "copy").collect())
+
+
+def test_rows_without_doc_id_are_dealt_like_others(spark):
+    df = spark.range(20_000).selectExpr("cast(null AS bigint) AS doc_id", "concat('text ', id) AS text", "'a' AS source")
+    got = m.mixed(df, {"a": 1.0}, partitions=8)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
+    counts = {r["count"] for r in got.groupBy("text").count().collect()}
+    assert len(counts) > 3  # texts draw for themselves
+    same = spark.range(8000).selectExpr("7 AS doc_id", "concat('t', id) AS text", "'a' AS source")
+    sizes = [r["count"] for r in m.mixed(same, {"a": 1.0}, total=24_000, partitions=8).groupBy(F.spark_partition_id()).count().collect()]
+    assert not sizes or len(sizes) == 8
