@@ -1,16 +1,16 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Seven rules each vote good (+1), bad (-1) or abstain (0) on a document. Expectation-maximisation over the counts of vote
-patterns estimates how often each rule's bad votes and good votes are right, and how many documents are good; a document
-is kept if, given its votes, it is good with at least even probability, and if it does not fail the base rule. There are
-at most 3**7 patterns, whatever the input, and one row of 15 numbers comes to the driver.
-
-With p the share of good documents and a how often a vote is right, a bad vote adds -(logit a + logit p) to the logit of
-p, a good vote logit a - logit p (Bayes' rule, votes being independent given the class); neither ever counts for the
-other side, and an abstention adds nothing. Most rules only ever vote bad: a text without junk symbols may still shout.
-
-Defined cases: null text is empty text: no words, every rule abstains, base failed. A document's text counts whole.
-Rows are judged one by one, so repeated rows get equal verdicts; an empty table gives no rows.
+Seven rules each vote good (+1), bad (-1) or abstain (0) on a document; every one can vote both ways. A document is good or
+bad, and rules vote independently given which: the model holds, for each rule and class, how often it votes what, and the
+share of good documents. Expectation-maximisation over the counts of vote patterns fits it, from a start that treats both
+classes alike and trusts each rule a little, with as little in pseudo-counts. A document is kept if, given its votes, it is
+good with at least even probability, and if it does not fail the base rule; so a rule that is often wrong is outvoted.
+Documents that fail the base rule are not fitted, as the posterior is not asked about them: they would be most of the bad.
+There are at most 3**7 patterns, whatever the input, and one row of 43 numbers comes to the driver.
+
+Defined cases: null text is empty text: no words, and base failed. A document's text counts whole, however long. Rows are
+judged one by one, so repeated rows get equal verdicts; an empty table gives no rows, and a table without a row that passes
+the base rule is judged by the start. Other columns are ignored, whatever their names; filtered() keeps them.
 """
 
 from __future__ import annotations
@@ -28,17 +28,17 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 #: Rules: name, when it votes bad, when it votes good (bad goes first; else it abstains). SQL over MEASURES, integers only.
 RULES = (
-    ("symbols", "10 * n_symbols > n_words", "FALSE"),
-    ("dup_lines", "10 * n_dup_lines > 4 * n_lines", "FALSE"),
-    ("repeats", "100 * n_repeat_words > 40 * n_words", "FALSE"),
-    ("upper", "10 * n_upper > 4 * n_letters", "FALSE"),
-    ("exclaim", "4 * n_exclaim > n_words", "FALSE"),
+    ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines AND n_lines > 0"),
+    ("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words AND n_words > 2"),
+    ("upper", "10 * n_upper > 2 * n_letters", "10 * n_upper <= n_letters AND n_letters > 0"),
+    ("exclaim", "10 * n_exclaim > n_words", "50 * n_exclaim <= n_words"),
     ("letters", "100 * n_letters < 75 * word_chars", "100 * n_letters >= 90 * word_chars AND n_letters > 0"),
     ("line_ends", "2 * n_term_lines < n_lines", "10 * n_term_lines >= 9 * n_lines AND n_lines > 0"),
 )
-STEPS, FIRST_ACCURACY, FIRST_PRIOR = 25, 0.8, 0.8
-#: Bounds: a rule is never taken for worse than a guess, nor for infallible; neither class ever dies out.
-ACCURACY, PRIOR = (0.55, 0.99), (0.05, 0.95)
+STEPS, FIRST_PRIOR = 40, 0.5
+#: How often a rule votes what its document is, abstains, and votes the other: at the start, and as pseudo-counts, which bind no large table.
+FIRST, PSEUDO = (0.6, 0.3, 0.1), (1.5, 1.2, 1.0)
 MIN_WORDS, MAX_REPEATS = 50, 50
 
 
@@ -93,47 +93,45 @@ def logit(p: float) -> float:
 
 @dataclass(frozen=True)
 class Model:
-    """prior: share of good documents; bad, good: of each rule, how often its bad and its good votes are right."""
+    """prior: share of good documents; bad, good: of each rule, how often it votes -1, 0 and 1 on documents of that class."""
 
     prior: float
-    bad: tuple[float, ...]
-    good: tuple[float, ...]
+    bad: tuple[tuple[float, float, float], ...]
+    good: tuple[tuple[float, float, float], ...]
 
     def posterior(self, vote: Column) -> Column:
         """The probability that a document with these votes is good."""
         odds = F.lit(logit(self.prior))
         for j, (bad, good) in enumerate(zip(self.bad, self.good, strict=True)):
-            against, in_favour = max(0.0, logit(bad) + logit(self.prior)), max(0.0, logit(good) - logit(self.prior))
-            odds += F.when(vote[j] == -1, -against).when(vote[j] == 1, in_favour).otherwise(0.0)
+            log = [math.log(g / b) for b, g in zip(bad, good, strict=True)]
+            odds += F.when(vote[j] == -1, log[0]).when(vote[j] == 0, log[1]).otherwise(log[2])
         return 1 / (1 + F.exp(-odds))
 
 
 def em_sql(patterns: str, rules: int, steps: int = STEPS) -> str:
-    """A Spark SQL expression over `patterns`, array<struct<v array<int>, n bigint>>: struct<pi double, bad array<double>, good array<double>>."""
-    clip = lambda x, lo, hi: f"greatest({lo}D, least({hi}D, {x}))"
+    """A Spark SQL expression over `patterns`, array<struct<v array<int>, n bigint>>: struct<pi double, bad array<array<double>>, good ...>."""
     total = lambda what: f"aggregate(transform(ps, p -> {what}), 0D, (s, x) -> s + x)"
-    log = lambda p: f"ln({p} / (1D - {p}))"
-    against, in_favour = f"greatest(0D, {log('m.bad[j]')} + {log('m.pi')})", f"greatest(0D, {log('m.good[j]')} - {log('m.pi')})"
-    odds = f"aggregate(sequence(0, {rules - 1}), {log('m.pi')}, (s, j) -> s + CASE WHEN p.v[j] = -1 THEN -({against}) WHEN p.v[j] = 1 THEN {in_favour} ELSE 0D END)"
+    odds = f"aggregate(sequence(0, {rules - 1}), ln(m.pi / (1D - m.pi)), (s, j) -> s + ln(m.good[j][p.v[j] + 1] / m.bad[j][p.v[j] + 1]))"
 
-    def accuracy(vote: int, right: str) -> str:
-        hit, cast = total(f"CASE WHEN p.v[j] = {vote} THEN p.n * {right} ELSE 0D END"), total(f"CASE WHEN p.v[j] = {vote} THEN double(p.n) ELSE 0D END")
-        return f"transform(sequence(0, {rules - 1}), j -> {clip(f'({hit} + {FIRST_ACCURACY}D) / ({cast} + 1D)', *ACCURACY)})"
+    def tables(share: str, pseudo: tuple[float, ...]) -> str:
+        """Of each rule, the shares of its votes among documents that count `share`."""
+        hit = total(f"CASE WHEN p.v[j] = w - 1 THEN p.n * {share} ELSE 0D END")
+        return f"transform(sequence(0, {rules - 1}), j -> transform(sequence(0, 2), w -> (array({', '.join(f'{x}D' for x in pseudo)})[w] + {hit}) / ({sum(pseudo)}D + {total(f'p.n * {share}')})))"
 
-    prior = clip(f"{total('p.n * p.q')} / {total('double(p.n)')}", *PRIOR)
-    step = f"transform(array(transform({patterns}, p -> named_struct('v', p.v, 'n', p.n, 'q', 1D / (1D + exp(-({odds})))))), ps -> named_struct('pi', {prior}, 'bad', {accuracy(-1, '(1D - p.q)')}, 'good', {accuracy(1, 'p.q')}))[0]"
-    first = f"array_repeat({FIRST_ACCURACY}D, {rules})"
-    return f"aggregate(sequence(1, {steps}), named_struct('pi', {FIRST_PRIOR}D, 'bad', {first}, 'good', {first}), (m, i) -> {step})"
+    prior = f"(1D + {total('p.n * p.q')}) / (2D + {total('double(p.n)')})"
+    step = f"transform(array(transform({patterns}, p -> named_struct('v', p.v, 'n', p.n, 'q', 1D / (1D + exp(-({odds})))))), ps -> named_struct('pi', {prior}, 'bad', {tables('(1D - p.q)', PSEUDO)}, 'good', {tables('p.q', PSEUDO[::-1])}))[0]"
+    first = lambda x: f"array_repeat(array({', '.join(f'{y}D' for y in x)}), {rules})"
+    return f"aggregate(sequence(1, {steps}), named_struct('pi', {FIRST_PRIOR}D, 'bad', {first(FIRST)}, 'good', {first(FIRST[::-1])}), (m, i) -> {step})"
 
 
 def fit(measured: DataFrame) -> Model:
-    """The model of a table with MEASURES. An empty table gives the model that the rounds begin with."""
-    patterns = measured.groupBy(votes().alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    """The model of the rows with MEASURES that pass the base rule. Without any, the model that the rounds begin with."""
+    patterns = measured.where(~base_failed()).groupBy(votes().alias("v")).agg(F.count(F.lit(1)).alias("n"))
     held = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("ps"))
     row = held.where(F.size("ps") > 0).select(F.expr(em_sql("ps", len(RULES))).alias("m")).first()
     if row is None:
-        return Model(FIRST_PRIOR, (FIRST_ACCURACY,) * len(RULES), (FIRST_ACCURACY,) * len(RULES))
-    return Model(row.m.pi, tuple(row.m.bad), tuple(row.m.good))
+        return Model(FIRST_PRIOR, (FIRST,) * len(RULES), (FIRST[::-1],) * len(RULES))
+    return Model(row.m.pi, tuple(map(tuple, row.m.bad)), tuple(map(tuple, row.m.good)))
 
 
 def base_failed() -> Column:
@@ -161,12 +159,12 @@ def oracle(documents: str = "documents") -> str:
     """DuckDB SQL for doc_id, the contract's columns and kept: EM as a recursive query over one row."""
     k = len(RULES)
     vote = "[" + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for _, bad, good in RULES) + "]"
-    log = lambda p: f"ln({p} / (1 - {p}))"
-    posterior = lambda m, v: f"1 / (1 + exp(-({log(f'{m}pi')} + list_sum([CASE WHEN {v}[j] = -1 THEN -greatest(0, {log(f'{m}bad[j]')} + {log(f'{m}pi')}) WHEN {v}[j] = 1 THEN greatest(0, {log(f'{m}good[j]')} - {log(f'{m}pi')}) ELSE 0 END for j in range(1, {k + 1})]))))"
+    posterior = lambda m, v: f"1 / (1 + exp(-(ln({m}pi / (1 - {m}pi)) + list_sum([ln({m}good[j][{v}[j] + 2] / {m}bad[j][{v}[j] + 2]) for j in range(1, {k + 1})]))))"
+    first = lambda x: f"[{list(x)}::DOUBLE[] for j in range({k})]"
 
-    def accuracy(vote: int, right: str) -> str:
-        hit, cast = (f"list_sum([CASE WHEN p.v[j] = {vote} THEN p.n * {x} ELSE 0 END for p in ps])" for x in (right, "1"))
-        return f"[greatest({ACCURACY[0]}::DOUBLE, least({ACCURACY[1]}::DOUBLE, ({hit} + {FIRST_ACCURACY}) / ({cast} + 1))) for j in range(1, {k + 1})]"
+    def tables(share: str, pseudo: tuple[float, ...]) -> str:
+        one = lambda w: f"({pseudo[w]}::DOUBLE + list_sum([CASE WHEN p.v[j] = {w - 1} THEN p.n * {share} ELSE 0 END for p in ps])) / ({sum(pseudo)}::DOUBLE + list_sum([p.n * {share} for p in ps]))"
+        return f"[[{', '.join(map(one, range(3)))}] for j in range(1, {k + 1})]"
 
     return f"""
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {documents}),
@@ -179,11 +177,11 @@ def oracle(documents: str = "documents") -> str:
               coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, len([x for x in l if regexp_matches(x, '[.!?"''”»…]\\s*$')]) AS n_term_lines,
               length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaim
               FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
-        v AS (SELECT *, {vote} AS v FROM f),
-        pats AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps FROM (SELECT v, count(*) AS n FROM v GROUP BY v)),
-        em AS (SELECT 0 AS i, {FIRST_PRIOR}::DOUBLE AS pi, [{FIRST_ACCURACY}::DOUBLE for j in range({k})] AS bad, [{FIRST_ACCURACY}::DOUBLE for j in range({k})] AS good
-               UNION ALL SELECT i + 1, greatest({PRIOR[0]}::DOUBLE, least({PRIOR[1]}::DOUBLE, list_sum([p.n * p.q for p in ps]) / list_sum([p.n for p in ps]))), {accuracy(-1, "(1 - p.q)")}, {accuracy(1, "p.q")}
-               FROM (SELECT i, [{{'v': p.v, 'n': p.n::DOUBLE, 'q': {posterior("", "p.v")}}} for p in pats.ps] AS ps FROM em, pats WHERE i < {STEPS})),
-        m AS (SELECT * FROM em WHERE i = {STEPS}),
-        b AS (SELECT v.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATS} * n_words AS base_failed, {posterior("m.", "v.v")} AS posterior FROM v, m)
+        v AS (SELECT *, {vote} AS v, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATS} * n_words AS base_failed FROM f),
+        pats AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps FROM (SELECT v, count(*) AS n FROM v WHERE NOT base_failed GROUP BY v)),
+        em AS (SELECT 0 AS i, {FIRST_PRIOR}::DOUBLE AS pi, {first(FIRST)} AS bad, {first(FIRST[::-1])} AS good
+               UNION ALL SELECT i + 1, (1 + list_sum([p.n * p.q for p in ps])) / (2 + list_sum([p.n for p in ps])), {tables("(1 - p.q)", PSEUDO)}, {tables("p.q", PSEUDO[::-1])}
+               FROM (SELECT i, [{{'v': p.v, 'n': p.n::DOUBLE, 'q': {posterior("", "p.v")}}} for p in pats.ps] AS ps FROM em, pats WHERE i < {STEPS} AND pats.ps IS NOT NULL)),
+        m AS (SELECT * FROM em ORDER BY i DESC LIMIT 1),
+        b AS (SELECT v.*, {posterior("m.", "v.v")} AS posterior FROM v, m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept FROM b"""
