@@ -2,7 +2,12 @@
 
 An archive is a file part-*.warc.zst-like of: a skippable frame (magic 0x184D2A5D) that holds the dictionary, then one
 Zstandard frame a record. Spark's committed text writer makes the files; the line separator it puts after each value is
-an empty skippable frame (magic 0x184D2A50), which every reader of the format skips.
+an empty skippable frame (magic 0x184D2A50), which every reader of the format skips. An archive is rolled at a fixed size,
+so their number follows the bytes and not the partitions, and one fits a task that reads it whole.
+
+Defined cases: null html is an empty payload, and so equal to all other empty ones; null page_ids and urls come back null
+(url as ''). Repeated rows are records each. An html of any length is one record, and an archive of its own where it is
+larger than that size. An empty table gives no archives and no rows. Columns but page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +30,11 @@ SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-#: The dictionary is fitted on this many payloads at most, those of the smallest hashes, and this many bytes of each.
+#: The dictionary is fitted on this many payloads at most, those of the smallest hashes, and this many bytes of each: it only
+#: serves compression. Parameters of write_archives.
 SAMPLE_PAGES, SAMPLE_BYTES, DICT_BYTES = 512, 16_384, 65_536
+#: Bytes at which an archive is closed and the next one begun.
+ARCHIVE_BYTES = 32 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -101,13 +109,13 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end
 
 
-def fitted_dictionary(pages: DataFrame, column: str = "html") -> bytes:
-    """A dictionary from at most SAMPLE_PAGES distinct payloads, those of the smallest hashes; b"" if they are too few to fit one.
+def fitted_dictionary(pages: DataFrame, column: str = "html", *, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """A dictionary from at most sample_pages distinct payloads, those of the smallest hashes; b"" if they are too few to fit one.
 
     Hashes are chosen first, so that no task sends payloads that are not taken.
     """
-    rows = pages.where(F.length(column) > 0).select(F.substring(F.encode(column, "UTF-8"), 1, SAMPLE_BYTES).alias("x"), F.xxhash64(column).alias("h"))
-    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    rows = pages.where(F.length(column) > 0).select(F.substring(F.encode(column, "UTF-8"), 1, sample_bytes).alias("x"), F.xxhash64(column).alias("h"))
+    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
     taken = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("x").alias("x")) if least else None
     samples = [bytes(r.x) for r in sorted(taken.collect(), key=lambda r: r.h)] if taken else []
     try:
@@ -146,27 +154,32 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, n:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
-    """One archive a partition of pages (page_id, url, html), into folder. Null html is an empty payload."""
-    dictionary = fitted_dictionary(pages)
+def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", level: int = 3, archive_bytes: int = ARCHIVE_BYTES, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> None:
+    """Archives of about archive_bytes of pages (page_id, url, html), into folder."""
+    dictionary = fitted_dictionary(pages, sample_pages=sample_pages, sample_bytes=sample_bytes)
+    head = struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary if dictionary else b""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row an archive."""
         trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True)
-        first = True
+        archive = bytearray()
         for b in batches:
-            frames = []
-            if first and b.num_rows and dictionary:
-                frames.append(struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary)
-            first = first and not b.num_rows
-            for page_id, url, payload, n, sha1, kind, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                frames.append(squeeze.compress(record_bytes(page_id, url, payload, n, base64.b32encode(sha1).decode(), kind, refers, date)))
-            yield pa.record_batch({"frame": pa.array(frames, pa.binary())})
+            for k in range(b.num_rows):
+                page_id, url, payload, n, sha1, kind, refers = (c[k].as_py() for c in b.columns)
+                frame = squeeze.compress(record_bytes(page_id, url, payload, n, base64.b32encode(sha1).decode(), kind, refers, date))
+                if archive and len(archive) + len(frame) > archive_bytes:
+                    yield pa.record_batch({"archive": pa.array([bytes(archive)], pa.binary())})
+                    archive = bytearray()
+                archive += frame if archive else head + frame
+        if archive:
+            yield pa.record_batch({"archive": pa.array([bytes(archive)], pa.binary())})
 
     rows = with_revisits(pages)
     rows = rows.select("page_id", "url", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes", "sha1", "record_type", "refers_to")
-    frames = _shared.arrow(rows, encode, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).option("compression", "none").text(folder)
+    archives = _shared.arrow(rows, encode, "archive binary")
+    archives = archives.select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", SEPARATOR.decode()).option("compression", "none").option("maxRecordsPerFile", 1).text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str, *, payloads: bool = False) -> DataFrame:

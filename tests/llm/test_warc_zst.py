@@ -62,3 +62,23 @@ def test_reader_accepts_and_refuses():
     for data in bad:
         with pytest.raises(ValueError):
             list(w.read_archive(data))
+
+
+def test_archives_are_rolled_by_bytes_not_partitions(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, f"http://h/{k}", rng.randbytes(1500).hex()) for k in range(400)] + [(1000, "long", rng.randbytes(1_500_000).hex()), (1001, "long too", "é" * 4_000_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for parts in (1, 3):
+        folder = str(tmp_path / f"w{parts}")
+        w.write_archives(df.repartition(parts), folder, archive_bytes=100_000)
+        sizes = sorted(len(open(f, "rb").read()) for f in glob.glob(f"{folder}/part-*"))
+        assert len(sizes) >= 6 and all(n <= 100_000 + len(w.SEPARATOR) for n in sizes[:-2])  # the dictionary among them
+        back = {r.page_id: r.payload.decode() for r in w.read_archives(spark, folder, payloads=True).collect()}
+        assert back == {i: h for i, _, h in rows}
+
+
+def test_other_columns_may_have_any_name(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).selectExpr("*", "1 AS payload", "2 AS sha1", "3 AS best", "4 AS record_type", "5 AS payload_bytes", "6 AS refers_to", "7 AS h", "8 AS x")
+    assert sorted(map(str, w.archived(df).collect())) == sorted(map(str, w.archived(spark.createDataFrame(ROWS, SCHEMA)).collect()))
