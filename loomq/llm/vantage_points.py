@@ -36,7 +36,7 @@ from . import _shared
 
 #: A shard holds this many vectors at most, and this many bytes of them; a block of queries as well.
 SHARD_ROWS, SHARD_BYTES, QUERY_ROWS, QUERY_BYTES = 32_768, 32 << 20, 1024, 1 << 20
-LEAF = 128
+LEAF = 512
 #: What a shard tries, in turn, where no factor is given: points that it samples, the recall to reach, and the factors.
 SAMPLE, RECALL, FACTORS = 64, 0.97, (8.0, 5.6, 4.0, 2.8, 2.0, 1.4, 1.2)
 _NONE = np.iinfo(np.int64).max
