@@ -75,3 +75,61 @@ def test_ibans_in_running_text():
     # nothing inside longer words, and a refused proposal does not hide one that begins within it
     assert not [x for x in p.find("XDE89370400440532013000 DE89370400440532013000X DE89370400440532013000123") if x[0] == "iban"]
     assert [x[:3] for x in p.find("AB12 DE89 3704 0044 0532 0130 00") if x[0] == "iban"] == [("iban", 5, 32)]
+
+
+def made_up(rng):
+    """kind -> a valid value of it."""
+    hexes, letters = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int(f"{body}131400") % 97  # D is 13, E is 14
+    nine = [rng.randrange(10) for _ in range(9)]
+    for n in (9, 10):
+        nine.append(sum(d * (n + 1 - k) for k, d in enumerate(nine)) * 10 % 11 % 10)
+    number = rng.randrange(10**8)
+    c = "".join(map(str, nine))
+    return {
+        "iban": f"DE{check:02d}{body}", "ssn": f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}", "cpf": f"{c[:3]}.{c[3:6]}.{c[6:9]}-{c[9:]}",
+        "dni": f"{number:08d}{p.DNI_LETTERS[number % 23]}", "secret": "".join(rng.choice(hexes) for _ in range(40)), "made": "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16)),
+        "mixed": "".join(rng.choice(letters) for _ in range(40)),
+    }
+
+
+CONTEXT = {"iban": "transfer to", "ssn": "social security number", "cpf": "CPF", "dni": "documento de identidad", "secret": "token =", "made": "use", "mixed": "api key:"}
+
+
+def test_recall_and_context_by_kind():
+    rng = random.Random(8)
+    found, bare, against = ({k: 0 for k in CONTEXT} for _ in range(3))
+    for _ in range(200):
+        for kind, value in made_up(rng).items():
+            if kind == "ssn" and value.startswith("666"):
+                value = "665" + value[3:]
+            as_kind = "secret" if kind in ("made", "mixed") else kind
+            at = lambda text, k=as_kind, v=value: (k, text.index(v), text.index(v) + len(v)) in [x[:3] for x in p.find(text)]
+            found[kind] += at(f'He wrote: {CONTEXT[kind]} "{value}", then left.')
+            bare[kind] += at(f"He wrote {value} and then left.")
+            against[kind] += at(f"This is a dummy {value} to look at.")
+    assert all(n >= 195 for n in found.values()), found  # recall by kind
+    assert bare["iban"] == bare["made"] == 200 and not any(bare[k] for k in ("ssn", "cpf", "dni", "secret", "mixed")), bare
+    assert not any(against.values()), against  # context decides for every added kind
+    assert not p.find("token = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa") and not p.find("commit 04dbebab91ab85687d33eeaaf9ac699e1188f962")
+    assert not p.find("the key is internationalization and-more-and-more-of-it") and not p.find("CPF 111.111.111-11") and not p.find("CPF 529.982.247-26")
+
+
+def test_planted_secrets_are_found(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike 'token = \"[0-9a-f]{40}\"'").collect()
+    assert len(rows) > 20
+    for r in rows:
+        wanted = {(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text)}
+        assert wanted <= {(s, e) for k, s, e, _ in p.find(r.text) if k == "secret"}
+
+
+def test_scores_and_other_columns(spark, odd):
+    df = spark.createDataFrame([(1, "IBAN DE89 3704 0044 0532 0130 00, 10.0.0.1")], "doc_id bigint, Text string").selectExpr("*", "5 AS spans", "6 AS n_email", "7 AS kind")
+    (r,) = p.digest(p.find_spans(df)).collect()
+    assert (r.n_iban, r.n_ip, r.n_spans, r.scores) == (1, 1, 2, "1.0,0.6")
+    (r,) = p.redacted(df).collect()
+    assert r.Text == "IBAN <IBAN>, <IP>" and (r.spans, r.n_email, r.kind) == (5, 6, 7)
+    long = "x " * 3_000_000 + "a@b.co"
+    masked = p.redacted(spark.createDataFrame([(k, long) for k in range(3)], "doc_id bigint, text string")).collect()
+    assert [r.text[-9:] for r in masked] == ["x <EMAIL>"] * 3
