@@ -1,14 +1,26 @@
-"""Licence scans by canonical digest: a whole text, brought to one spelling, is looked up among known licences' digests."""
+"""Licence scans by canonical digest: a whole text, brought to one spelling, is looked up among known licences' digests.
+
+Runs of whole lines inside longer texts are looked up the same way, so that a notice of one line or a licence of many is
+found between other text. Which texts and runs are worth a digest follows from the known texts alone: a text must hold one
+of their anchor words, a run begin with the first words of one and be as long.
+
+Defined cases: null text is empty text; it matches nothing. One row comes out for each that goes in, repeated rows and rows
+without doc_id among them; an empty table gives none. A text counts whole, however long. Columns but doc_id and text are
+ignored, whatever their names.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _shared
+
 #: Spellings that licence matching treats as one, old and new, as words of the canonical text.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"),
@@ -17,7 +29,8 @@ SPELLINGS = (
     ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"),
     ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("per cent", "percent"),
 )
-_SPELLING = dict(SPELLINGS)
+_SINGLE = {old: new for old, new in SPELLINGS if " " not in old}
+_PAIRS = {tuple(old.split()): new for old, new in SPELLINGS if " " in old}
 #: The lines that oracle()'s SQL takes for statements of copyright; and what separates the words of a canonical text.
 COPYRIGHT_LINE = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
@@ -88,26 +101,85 @@ def digests(known: Mapping[str, str | tuple[str, ...]]) -> dict[str, str]:
     return out
 
 
+def tokens_by_line(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text's canonical form, and where lines with a word begin among them. A word made of two belongs to the first one's line."""
+    words: list[str] = []
+    starts: list[int] = []
+    for line in _STATEMENT_RE.sub("", text.lower()).split("\n"):
+        found = [y for x in re.findall(r"[^\W_]+", line) for y in _SINGLE.get(x, x).split()]
+        if not found:
+            continue
+        starts.append(len(words))
+        for w in found:
+            if words and (pair := _PAIRS.get((words[-1], w))):
+                words[-1] = pair
+                if starts[-1] == len(words):
+                    starts.pop()  # the line's first word went to the line before; its next one begins it
+                    starts.append(len(words))
+            else:
+                words.append(w)
+        if starts[-1] >= len(words):
+            starts.pop()
+    return words, sorted(set(starts))
+
+
+class Runs:
+    """Known canonical texts by their first words and length in words."""
+
+    FIRST = 3
+
+    def __init__(self, known: Mapping[str, str | tuple[str, ...]]):
+        self.names = digests(known)
+        self.lengths: dict[tuple[str, ...], set[int]] = {}
+        anchors: set[str] = set()
+        made = {y for _, new in SPELLINGS for y in new.split()}
+        for text in {canonical_text(t) for x in known.values() for t in ([x] if isinstance(x, str) else x)}:
+            if words := text.split(" ") if text else []:
+                self.lengths.setdefault(tuple(words[: self.FIRST]), set()).add(len(words))
+                # the longest early word that no other spelling leads to; else any of its spellings
+                plain = [w for w in words[:8] if w not in made]
+                anchors |= {max(plain, key=len)} if plain else {o.split()[0] for o, n in SPELLINGS if words[0] in n.split()} | {words[0]}
+        self.anchors = "|".join(map(re.escape, sorted(anchors)))
+
+    def found(self, text: str | None) -> list[str]:
+        """Names of the known texts that are runs of whole lines of text, sorted, each once."""
+        if not text:
+            return []
+        words, starts = tokens_by_line(text)
+        ends, out = {*starts[1:], len(words)}, set()
+        for s in starts:
+            for n in range(1, self.FIRST + 1):
+                for length in self.lengths.get(tuple(words[s : s + n]), ()):
+                    if s + length in ends and (n == self.FIRST or length == n):
+                        name = self.names.get(hashlib.sha256(" ".join(words[s : s + length]).encode()).hexdigest())
+                        out |= {name} if name else set()
+        return sorted(out)
+
+
 def scan(docs: DataFrame, known: Mapping[str, str | tuple[str, ...]] = KNOWN, *, lines: bool = True) -> DataFrame:
-    """doc_id, digest (of the whole canonical text), licence (null if unknown), and the known notices among its lines.
+    """doc_id, digest (of the whole canonical text), licence (null if unknown), and the known texts among its runs of lines.
 
-    One row a row of docs (doc_id, text). The known table is a parameter, so its size bounds what is broadcast: the join
-    is on the digest of entire texts. With lines, every line that mentions a licence or a release is looked up the same
-    way, and `notices` lists what was found, sorted, each once. Null and empty texts match nothing.
+    One row a row of docs (doc_id, text). The join is on the digest of entire texts; the known table is a parameter, and
+    Spark broadcasts it only if it is small. With lines, `notices` lists what runs of lines are, sorted, each once.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
-    table = digests(known)
-    found = F.broadcast(spark.createDataFrame(list(table.items()), "digest string, licence string"))
-    digest = lambda x: F.sha2(one_spelling(canonical(x)), 256)
-    hinted = lambda x: x.rlike("(?i)licen[cs]|released|permission|granted")
-    notices = F.array().cast("array<string>")
-    if lines and table:
-        names = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
-        some = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: hinted(x))
-        hits = F.transform(some, lambda x: F.try_element_at(names, digest(x)))
-        notices = F.when(hinted(F.coalesce("text", F.lit(""))), F.array_sort(F.array_distinct(F.array_compact(hits)))).otherwise(notices)
-    out = rows.select("doc_id", digest(F.col("text")).alias("digest"), notices.alias("notices"))
+    runs = Runs(known)
+    found = spark.createDataFrame(list(runs.names.items()), "digest string, licence string")
+    digest = F.sha2(one_spelling(canonical(F.col("text"))), 256)
+    if lines and runs.names:
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("notices", pa.list_(pa.string()))])
+
+        def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, n in _shared.slices(b.column(2)):
+                    part = b.slice(at, n)
+                    yield pa.record_batch([part.column(0), part.column(1), pa.array([runs.found(t) for t in part.column(2).to_pylist()], pa.list_(pa.string()))], schema=schema)
+
+        worth = F.when(F.lower("text").rlike(runs.anchors), F.col("text"))  # only these texts leave the JVM
+        out = _shared.arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), worth.alias("text")), look, "doc_id long, digest string, notices array<string>")
+    else:
+        out = rows.select("doc_id", digest.alias("digest"), F.array().cast("array<string>").alias("notices"))
     return out.join(found, "digest", "left").select("doc_id", "digest", "licence", "notices")
 
 
