@@ -2,11 +2,16 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, by one operator of loomq.llm, on all that the stage before it kept; its
 result is written as Parquet and read again as the next one's docs. All but the last return the columns of `documents`.
+
+Defined cases, by stage: null and empty texts fail the base rule, and go; repeated rows stay or go alike in the first stage, and
+one of them stays after the second; rows without doc_id stay, are not compared, and draw by their text in the mix. An
+empty table gives an empty result of each stage. Other columns come along, whatever their names. Texts count whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomq.llm import _shared, personal_data, piece_viterbi, quality_rules, source_mix, token_groups
 from loomq.llm.queries import tokenizer_path
@@ -23,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts gives way to its kind's name; n_chars stays that of the source text."""
-    return personal_data.redacted(docs)
+    """Personal data in texts gives way to its kind's name; n_chars is that of the new text."""
+    clean = personal_data.redacted(docs)
+    return clean.withColumns({c: F.length("text").cast(clean.schema[c].dataType) for c in clean.columns if c.lower() == "n_chars"})
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,17 @@ gives for a unigram model of these pieces and scores; ties go to the longer last
 stores minus the merge's rank as score: its segmentation here is the best-scored one, not the one of its merges in turn.
 
 A unit is a run of spaces with what follows up to the next space; no piece goes past its end, so units are searched
-apart, and each distinct unit once. Units of one length advance together: at each end, the rolling hashes of the
-substrings before it are looked up among the sorted hashes of the pieces of that length, and the best sum and its piece
-are kept. Characters without a piece become the bytes of their UTF-8 form, or <unk> in a model without byte pieces.
-
-Null text gives null ids and null text. An empty text gives no ids. Decoding gives the text back, but for U+2581, which
-the format cannot tell from a space.
+apart, and each distinct unit once. A unit is cut further wherever no piece holds the two characters side by side, which
+leaves text without spaces in short parts, too. Parts of one length advance together, longer ones padded to a few lengths: at
+each end, the rolling hashes of the substrings before it are looked up among the sorted hashes of the pieces of that
+length, hits are compared with the piece, and the best sum and its piece are kept. A very long part is searched by itself:
+its hits are found for all places at once, and only the sums go place by place. Characters without a piece become the bytes of
+their UTF-8 form, or <unk> in a model without byte pieces.
+
+Defined cases: null text gives null ids and null text; an empty text gives no ids. Decoding gives the text back, but for
+U+2581, which the format cannot tell from a space. One row comes out for each that goes in, repeated rows among them; an empty
+table gives none. Texts of any length are encoded whole, in runs of bounded size, one text at least. Columns but doc_id and
+text (or ids) are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from .id_store import IdStore
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Cells of the search that are held at a time.
-CELLS = 1 << 20
+#: Cells of the search that are held at a time; places of a long part that are searched at once, and the length from which one is long.
+CELLS, WINDOW, LONG = 1 << 20, 1 << 16, 64
+#: Fills up a part to its class's length; no code point.
+PAD = np.uint32(0xFFFFFFFF)
 UNKNOWN_PENALTY = 10.0
 
 
@@ -68,7 +75,11 @@ class Pieces:
         self.with_bytes = bool((self.bytes_at >= 0).all())
         self.unknown_score = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
         self.newline_apart = not any("\n" in p for p, _, _ in pieces)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        pairs = {x[k : k + 2] for x, _, _ in pieces for k in range(len(x) - 1)}
+        flat = np.frombuffer("".join(pairs).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        #: the pairs of characters that some piece holds side by side
+        self.pairs = np.sort(flat[::2] << np.uint64(32) | flat[1::2])
         for n in sorted({len(p) for p, _, _ in pieces}):
             same = [x for x in pieces if len(x[0]) == n]
             codes = np.frombuffer("".join(p for p, _, _ in same).encode("utf-32-le"), np.uint32).reshape(-1, n)
@@ -76,11 +87,11 @@ class Pieces:
             order = np.argsort(keys)
             if (np.diff(keys[order].astype(object)) == 0).any():
                 raise ValueError("two pieces share a hash")
-            self.tables[n] = keys[order], np.array([i for _, i, _ in same])[order], np.array([s for _, _, s in same])[order]
+            self.tables[n] = keys[order], np.array([i for _, i, _ in same])[order], np.array([s for _, _, s in same])[order], codes[order]
         self.store = IdStore(most)
 
-    def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the rows of codes (code points, rows of one length): number in each row, and all."""
+    def search(self, codes: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of codes (code points, filled up with PAD after sizes, if given): number in each row, and all."""
         n, size = codes.shape
         hashes = prefix_hashes(codes)
         powers = BASE ** np.arange(size + 1, dtype=np.uint64)
@@ -93,13 +104,14 @@ class Pieces:
             for m in lengths:
                 if m > end:
                     continue
-                keys, piece, score = self.tables[m]
+                keys, piece, score, letters = self.tables[m]
                 key = hashes[:, end] - hashes[:, end - m] * powers[m]
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[at] == key
+                rows = np.flatnonzero(keys[at] == key)
+                if len(rows):  # equal hashes may be of different strings
+                    rows = rows[(codes[rows, end - m : end] == letters[at[rows]]).all(axis=1)]
                 if m == 1:
-                    single = hit
-                rows = np.flatnonzero(hit)
+                    single[rows] = True
                 total = best[end - m, rows] + score[at[rows]]
                 better = total > best[end, rows]
                 rows = rows[better]
@@ -109,7 +121,7 @@ class Pieces:
             better = total > best[end, rows]
             rows = rows[better]
             best[end, rows], ids[end, rows], steps[end, rows] = total[better], -1 - codes[rows, end - 1].astype(np.int64), 1
-        out, place, who = np.full((n, size), np.iinfo(np.int64).min), np.full(n, size), np.arange(n)
+        out, place, who = np.full((n, size), np.iinfo(np.int64).min), np.full(n, size) if sizes is None else sizes.copy(), np.arange(n)
         for column in range(size - 1, -1, -1):
             out[who, column] = ids[place[who], who]
             place[who] -= steps[place[who], who]
@@ -119,6 +131,55 @@ class Pieces:
         used = out != np.iinfo(np.int64).min
         return used.sum(axis=1), out[used]
 
+    def search_long(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of one part, however long: a window of places at a time."""
+        size, most = len(codes), max(self.tables)
+        ids, steps = np.zeros(size + 1, np.int64), np.ones(size + 1, np.uint8)
+        best = [0.0]  # the sums up to the last `most` places
+        for at in range(0, size, WINDOW):
+            to = min(size, at + WINDOW)
+            low = max(0, at - most)
+            part = codes[low:to].astype(np.uint64) + np.uint64(1)
+            hash_, found = np.zeros(len(part), np.uint64), []
+            single = np.zeros(to - at, bool)
+            for m in range(1, most + 1):  # hash_[k]: of the m characters from low + k on
+                if len(part) < m:
+                    break
+                hash_ = hash_[: len(part) - m + 1] * BASE + part[m - 1 :]
+                if m not in self.tables:
+                    continue
+                keys, piece, score, letters = self.tables[m]
+                place = np.minimum(np.searchsorted(keys, hash_), len(keys) - 1)
+                begin = np.flatnonzero((keys[place] == hash_) & (np.arange(len(hash_)) + low + m > at))
+                begin = begin[(codes[low + begin[:, None] + np.arange(m)] == letters[place[begin]]).all(axis=1)]
+                found.append((begin + low + m, np.full(len(begin), m), score[place[begin]], piece[place[begin]]))
+                if m == 1:
+                    single[begin + low + 1 - at - 1] = True
+            alone = np.flatnonzero(~single)
+            found.append((alone + at + 1, np.zeros(len(alone), np.int64), np.full(len(alone), self.unknown_score), -1 - codes[at + alone].astype(np.int64)))
+            ends, lengths, scores, marks = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((-lengths, ends))  # the longest first: it keeps a tie
+            first = len(best) - 1 - at  # best[first + e]: the best sum up to place e
+            place, top = at, -np.inf
+            chosen_id, chosen_step = [], []
+            for e, m, score, mark in zip(ends[order].tolist(), np.maximum(lengths[order], 1).tolist(), scores[order].tolist(), marks[order].tolist(), strict=True):
+                if e != place:
+                    place, top = e, -np.inf
+                    best.append(top)
+                    chosen_id.append(0)
+                    chosen_step.append(1)
+                total = best[first + e - m] + score
+                if total > top:
+                    top = best[-1] = total
+                    chosen_id[-1], chosen_step[-1] = mark, m
+            ids[at + 1 : to + 1], steps[at + 1 : to + 1] = chosen_id, chosen_step
+            best = best[-most - 1 :]
+        out, place = [], size
+        while place:
+            out.append(place)
+            place -= int(steps[place])
+        return ids[out[::-1]]
+
     def _as_bytes(self, counts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece, marked by negative numbers, as byte pieces or <unk>."""
         if not (flat < 0).any():
@@ -130,19 +191,44 @@ class Pieces:
         flat = np.array([i for x in runs for i in x])[_shared.ranges((np.cumsum(n) - n)[at], n[at])]
         return np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]), flat
 
+    def _distinct(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows of parts: each one's place among the distinct ones, and those' numbers of ids and ids."""
+        keys = np.ascontiguousarray(codes).view(np.dtype((np.void, 4 * codes.shape[1]))).ravel()
+        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        step = max(1, CELLS // codes.shape[1])
+        found = [self._as_bytes(*self.search(codes[first[k : k + step]], sizes[first[k : k + step]])) for k in range(0, len(first), step)]
+        return place.ravel(), np.concatenate([c for c, _ in found]), np.concatenate([i for _, i in found])
+
     def _learn(self, units: list[str]) -> None:
-        by_size: dict[int, list[str]] = {}
-        for u in units:
-            by_size.setdefault(len(u), []).append(u)
-        for size, same in by_size.items():
-            if not size:
-                self.store.keep(same, np.zeros(1, np.int64), np.zeros(0, np.uint32))
-                continue
-            step = max(1, CELLS // size)
-            for k in range(0, len(same), step):
-                part = same[k : k + step]
-                codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(-1, size)
-                self.store.keep(part, *self._as_bytes(*self.search(codes)))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        flat = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        unit_at = np.cumsum(sizes) - sizes
+        cut = np.ones(len(flat), bool)
+        key = flat[:-1].astype(np.uint64) << np.uint64(32) | flat[1:]
+        cut[1:] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] != key
+        cut[unit_at[sizes > 0]] = True
+        at = np.flatnonzero(cut)
+        length = np.diff(np.append(at, len(flat)))
+        width = np.where(length <= 16, length, -(-length // 8) * 8)
+        counts, starts, results, used = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), [], 0
+        for w in np.unique(width[length <= LONG]).tolist():
+            here = np.flatnonzero((width == w) & (length <= LONG))
+            places = at[here, None] + np.arange(w)
+            codes = np.where(np.arange(w) < length[here, None], flat[np.minimum(places, len(flat) - 1)], PAD)
+            place, n, ids = self._distinct(codes, length[here])
+            counts[here], starts[here] = n[place], (used + np.cumsum(n) - n)[place]
+            results.append(ids)
+            used += len(ids)
+        for k in np.flatnonzero(length > LONG).tolist():
+            ids = self.search_long(flat[at[k] : at[k] + length[k]])
+            n, ids = self._as_bytes(np.array([len(ids)]), ids)
+            counts[k], starts[k] = n[0], used
+            results.append(ids)
+            used += len(ids)
+        ids = np.concatenate(results)[_shared.ranges(starts, counts)] if results else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        first = np.searchsorted(at, np.append(unit_at, len(flat)))  # each unit's first part
+        self.store.keep(units, np.diff(ends[first]), ids.astype(np.uint32))
 
     def units(self, text: str) -> list[str]:
         """The units of a normalised text."""
@@ -258,11 +344,16 @@ def decoded(coded: DataFrame, model: str) -> DataFrame:
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pieces(model)
         for b in batches:
-            lists = b.column(1)
-            valid = np.asarray(lists.is_valid())
-            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.flatten().fill_null(held.unknown).to_numpy(zero_copy_only=False)
-            yield pa.record_batch({"doc_id": b.column(0), "text": pa.array(held.decode(counts, ids), pa.string(), mask=~valid)})
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:  # runs of a million ids or one row
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
+                lists = b.column(1).slice(at, to - at)
+                valid = np.asarray(lists.is_valid())
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = lists.flatten().fill_null(held.unknown).to_numpy(zero_copy_only=False)
+                yield pa.record_batch({"doc_id": b.column(0).slice(at, to - at), "text": pa.array(held.decode(counts, ids), pa.string(), mask=~valid)})
+                at = to
 
     rows = coded.select(coded["doc_id"].cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return _shared.arrow(rows, decode, "doc_id long, text string")

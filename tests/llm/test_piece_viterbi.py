@@ -94,3 +94,66 @@ def test_a_small_store_changes_nothing(held):
     for k in range(0, 200, 20):
         part = pa.array(texts()[k : k + 20])
         assert split(*small.encode(part)) == split(*held.encode(part))
+
+
+def plain_ids(held, text):
+    """The ids by a plain loop over the whole normalised text: best sum, ties to the longer last piece."""
+    if not text:
+        return []
+    norm = "▁" + text.replace(" ", "▁")
+    table = {"".join(map(chr, c)): (float(s), int(i)) for _, ids, scores, letters in held.tables.values() for c, i, s in zip(letters.tolist(), ids, scores, strict=True)}
+    best, back = [0.0] + [-np.inf] * len(norm), [(0, 0)] * (len(norm) + 1)
+    for e in range(1, len(norm) + 1):
+        for s in range(max(0, e - max(held.tables)), e):  # the longest first
+            if norm[s:e] in table and best[s] + table[norm[s:e]][0] > best[e]:
+                best[e], back[e] = best[s] + table[norm[s:e]][0], (s, table[norm[s:e]][1])
+        if norm[e - 1] not in table and best[e - 1] + held.unknown_score > best[e]:
+            best[e], back[e] = best[e - 1] + held.unknown_score, (e - 1, -1)
+    out, e = [], len(norm)
+    while e:
+        s, i = back[e]
+        out.append([i] if i >= 0 else [int(held.bytes_at[b]) for b in norm[s].encode()])
+        e = s
+    return [i for x in reversed(out) for i in x]
+
+
+def test_long_and_unspaced_texts_equal_a_plain_loop(held, monkeypatch):
+    rng = random.Random(11)
+    han = [chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)]
+    cases = ["x" * 3000, "ab" * 700, "".join(rng.choice("abcdefghijklmnop/+=0123456789") for _ in range(5000)), "".join(rng.choice(han) for _ in range(4000)), "\n".join("".join(rng.choice(han + [*"the。，"]) for _ in range(200)) for _ in range(20)), "the quick brown fox\njumps  over " * 200]
+    cases += ["".join(rng.choice([*"theandingé ☃日本語\n", *han[:5]]) for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+    for window in (v.WINDOW, 37):
+        monkeypatch.setattr(v, "WINDOW", window)
+        held.store.clear()
+        found = split(*held.encode(pa.array(cases)))
+        assert [k for k, t in enumerate(cases) if found[k] != plain_ids(held, t)] == []
+
+
+def test_unspaced_text_takes_no_more_than_five_times_as_long():
+    import time
+
+    rng = random.Random(12)
+    han = [chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000)]
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+    spaced = " ".join(rng.choice(words) for _ in range(17_000))[:100_000]
+    unspaced = "".join(rng.choice(han) for _ in range(100_000))
+
+    def seconds(texts):
+        fresh = v.Pieces(PATH)
+        at = time.perf_counter()
+        fresh.encode(pa.array(texts))
+        return time.perf_counter() - at
+
+    base = min(seconds([spaced]) for _ in range(3))
+    assert min(seconds([unspaced]) for _ in range(3)) < 5 * base and min(seconds([unspaced[k : k + 500] for k in range(0, 100_000, 500)]) for _ in range(3)) < 5 * base
+
+
+def test_a_hit_of_another_string_is_no_hit(held, monkeypatch):
+    """Where a table's hashes were those of other strings, none of its pieces would be found, and the text still be encoded."""
+    keys, ids, scores, letters = held.tables[2]
+    monkeypatch.setitem(held.tables, 2, (keys, ids, scores, np.zeros_like(letters)))
+    held.store.clear()
+    for text in ("thine and there", "x" * 200):
+        got = held.encode(pa.array([text]))[1]
+        assert not set(got.tolist()) & set(ids.tolist()) and held.decode(np.array([len(got)]), got) == [text]
+    held.store.clear()

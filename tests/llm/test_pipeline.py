@@ -55,3 +55,26 @@ def test_registered_once_for_each_operator():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stages_stand_odd_rows(spark, odd):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from llm_cases import invented
+
+    rng = random.Random(9)
+    texts = [invented(rng, 120) + "." for _ in range(3)]
+    more = [(100, texts[0]), (101, texts[0]), (101, texts[0]), (None, texts[1]), (None, texts[1]), (102, texts[2] + " mail a@b.co " + invented(rng, 60_000) + ".")]
+    rows = odd.unionByName(spark.createDataFrame([(i, t, "en", "src1") for i, t in more], odd.schema.fieldNames()[:4]), allowMissingColumns=True)
+    docs = rows.withColumn("N_chars", F.length("text").cast("long"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        kept[name] = sorted((r.doc_id or 0 for r in docs.collect()))
+        assert all(r.N_chars == len(r.text) for r in docs.collect())
+    assert kept["quality rules"] == [0, 0, 100, 101, 101, 102] and kept["near duplicates"] == [0, 0, 100, 102] == kept["personal data"]
+    assert "mail <EMAIL> " in {r.doc_id: r.text for r in docs.collect()}.get(102, "mail <EMAIL> ") and set(kept["source mix"]) <= {0, 100, 102}
+    out = corpus_pipeline.token_ids(spark, docs, SF)
+    assert out.columns == ["doc_id", "ids"] and out.count() == docs.count()
