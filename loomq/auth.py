@@ -12,15 +12,26 @@ from .sources.files import Folder
 
 #: Fixed values of the password digest.
 DIGEST, ROUNDS, SALT_BYTES = "sha256", 100_000, 16
-FILE = "users.json"
+FOLDER = "_users"
 
 
 class Users:
-    """Kept in users.json of a folder, or in memory only."""
+    """Kept in numbered files of a folder, the newest of which counts, or in memory only.
+
+    A change makes the next number, which only one writer can; so users are never half written, and none are lost.
+    """
 
     def __init__(self, folder: Folder | None):
         self.folder, self._mutex = folder, threading.Lock()
-        self._users: dict[str, dict[str, str]] = folder.read(FILE) if folder and FILE in folder.names("") else {}
+        self._users: dict[str, dict[str, str]] = {}
+        self._version = -1
+        self._refresh()
+
+    def _refresh(self) -> None:
+        versions = [int(x.removesuffix(".json")) for x in self.folder.names(FOLDER) if x.endswith(".json")] if self.folder else []
+        if versions and max(versions) > self._version:
+            self._version = max(versions)
+            self._users = self.folder.read(f"{FOLDER}/{self._version:020d}.json")
 
     def _digest(self, password: str, salt: bytes) -> str:
         return hashlib.pbkdf2_hmac(DIGEST, password.encode(), salt, ROUNDS).hex()
@@ -31,6 +42,8 @@ class Users:
 
     def change(self, verb: str, user: str, password: str | None) -> str:
         with self._mutex:
+            self._refresh()
+            before = dict(self._users)
             there = user.lower() in self._users
             if verb == "CREATE" and there:
                 raise LoomError(f"User '{user}' already exists")
@@ -41,7 +54,10 @@ class Users:
             else:
                 self._set(user, password or "")
             if self.folder:
-                self.folder.replace(FILE, self._users)
+                if not self.folder.create(f"{FOLDER}/{self._version + 1:020d}.json", self._users):
+                    self._users = before
+                    raise LoomError("Users were changed by another session")
+                self._version += 1
         return {"CREATE": f"User '{user}' created", "DROP": f"User '{user}' dropped", "ALTER": f"Password updated for '{user}'"}[verb]
 
     def accepts(self, user: str, password: str) -> bool:

@@ -13,10 +13,13 @@ from .server import PORT, receive, send
 
 
 class Client:
-    def __init__(self, host: str = "127.0.0.1", port: int = PORT, *, username: str, password: str, timeout: float | None = None):
+    """A connection. Without a user name it logs in nowhere, as a server without users lets it."""
+
+    def __init__(self, host: str = "127.0.0.1", port: int = PORT, *, username: str | None = None, password: str | None = None, timeout: float | None = None):
         self._sock: socket.socket | None = socket.create_connection((host, port), timeout)
+        auth = {"auth": {"username": username, "password": password or ""}} if username is not None else {}
         try:
-            send(self._sock, json.dumps({"auth": {"username": username, "password": password}}))
+            send(self._sock, json.dumps(auth | {"parts": True}))
             answer = json.loads(receive(self._sock))
         except BaseException:
             self._drop()
@@ -34,16 +37,30 @@ class Client:
     def closed(self) -> bool:
         return self._sock is None
 
-    def execute(self, sql: str) -> dict:
+    @property
+    def connected(self) -> bool:
+        return self._sock is not None
+
+    def parts(self, sql: str) -> Iterator[dict]:
+        """The result part by part, so that one of any size passes; to be taken to its end."""
         if self._sock is None:
             raise ConnectionError("Client is closed")
         try:
             send(self._sock, sql)
-            return json.loads(receive(self._sock))
+            more = True
+            while more:
+                part = json.loads(receive(self._sock))
+                more = part.pop("more", False)
+                yield part
         except (OSError, ConnectionError):
             self._drop()
             raise
 
+    def execute(self, sql: str) -> dict:
+        """The whole result."""
+        found = list(self.parts(sql))
+        return found[-1] | {"rows": [r for p in found for r in p["rows"]]}
+
     def close(self) -> None:
         if self._sock:
             try:
@@ -63,7 +80,7 @@ class Client:
 class ConnectionPool:
     """At most max_size clients, min_size of them open from the start. acquire waits up to `wait` seconds for one."""
 
-    def __init__(self, host: str = "127.0.0.1", port: int = PORT, *, min_size: int = 2, max_size: int = 10, wait: float = 30.0, username: str, password: str):
+    def __init__(self, host: str = "127.0.0.1", port: int = PORT, *, min_size: int = 2, max_size: int = 10, wait: float = 30.0, username: str | None = None, password: str | None = None):
         self._open = lambda: Client(host, port, username=username, password=password)
         self._wait, self._closed = wait, False
         self._idle: queue.LifoQueue[Client] = queue.LifoQueue()

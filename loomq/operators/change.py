@@ -1,7 +1,8 @@
 """INSERT, UPDATE and DELETE: each gives the table's next manifest and the number of rows it changed.
 
 Constraints are checked on sets, before anything is committed. Nothing is collected but the names of files that hold
-matching rows, their counts, and one offending row.
+matching rows, their counts, bounds of changed keys, and one offending row. Files that cannot hold a match by their bounds are
+not opened.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import ExecutionError, LoomError
 from ..functions.expressions import Typed, compile_expression
 from ..plans import tree as T
+from ..plans.limits import Limit, limits
 from ..sources import store as st
 from .scope import Scope
 
@@ -83,8 +85,8 @@ def insert(stmt: T.Insert, m: st.Manifest, store: st.Store) -> tuple[st.Manifest
             _check_new_keys(rows, index, m, store)
     if not rows:
         return m, 0
-    files = store.write(m, store.spark.createDataFrame(rows, m.schema).coalesce(1))
-    return replace(m, files=m.files + files, rows=m.rows + len(rows), next=nextid), len(rows)
+    new = store.write(m, store.spark.createDataFrame(rows, m.schema).coalesce(1))
+    return store.merged(replace(m.with_files(m.files, new), rows=m.rows + len(rows), next=nextid)), len(rows)
 
 
 def _check_new_keys(rows: list[list[object]], index: st.Index, m: st.Manifest, store: st.Store) -> None:
@@ -95,9 +97,11 @@ def _check_new_keys(rows: list[list[object]], index: st.Index, m: st.Manifest, s
         if key in seen:
             raise duplicate(key, index)
         seen.add(key)
-    if not keys or not m.files:
+    within = [Limit(T.Name(c), "in", tuple({k[p] for k in keys})) for p, c in enumerate(index.columns)]
+    files = store.pruned(m, within if len(keys) <= KEYS_IN_FILTER else _span(keys, index.columns))
+    if not keys or not files:
         return
-    there = store.frame(m).select(*[F.col(f"`{c}`") for c in index.columns])
+    there = store.frame(m, files).select(*[F.col(f"`{c}`") for c in index.columns])
     if len(places) == 1 and len(keys) <= KEYS_IN_FILTER:  # reaches the scan, which skips row groups by it
         found = there.where(F.col(f"`{index.columns[0]}`").isin([k[0] for k in keys]))
     else:
@@ -107,6 +111,11 @@ def _check_new_keys(rows: list[list[object]], index: st.Index, m: st.Manifest, s
         raise duplicate(tuple(row), index)
 
 
+def _span(keys: list[tuple], columns: tuple[str, ...]) -> list[Limit]:
+    """Limits that all of keys are within."""
+    return [Limit(T.Name(c), op, (f(k[p] for k in keys),)) for p, c in enumerate(columns) if keys for op, f in ((">=", min), ("<=", max))]
+
+
 def _scope(m: st.Manifest, df: DataFrame) -> tuple[Scope, DataFrame]:
     scope = Scope()
     named = scope.scan(T.Table(m.name), df)
@@ -131,10 +140,16 @@ def _matching(m: st.Manifest, where: object | None, store: st.Store) -> tuple[Co
         return condition, (), 0
     if where is None:
         return condition, m.files, m.rows
+    files = store.pruned(m, limits(where))
+    if not files:
+        return condition, (), 0
+    df = store.frame(m, files)
     named = df.select(*[F.col(f"`{c.name}`").alias(f"{m.name}.{c.name}") for c in m.columns], F.col("_metadata.file_path").alias(FILE))
-    counts = {r[FILE]: r["count"] for r in named.where(condition).groupBy(FILE).count().collect()}
-    tails = {x.split("/tables/", 1)[1] for x in counts}
-    return condition, tuple(f for f in m.files if f.split("tables/", 1)[1] in tails), sum(counts.values())
+    counts = {st.tail(r[FILE]): r["count"] for r in named.where(condition).groupBy(FILE).count().collect()}
+    found = tuple(f for f in files if st.tail(f) in counts)
+    if len(found) != len(counts):
+        raise ExecutionError(f"Table '{m.name}': files with matching rows are not among its own")
+    return condition, found, sum(counts.values())
 
 
 def _shown(m: st.Manifest, df: DataFrame) -> DataFrame:
@@ -143,14 +158,15 @@ def _shown(m: st.Manifest, df: DataFrame) -> DataFrame:
 
 def delete(stmt: T.Delete, m: st.Manifest, store: st.Store) -> tuple[st.Manifest, int]:
     condition, files, n = _matching(m, stmt.where, store)
-    rest = tuple(f for f in m.files if f not in set(files))
+    rest, new = tuple(f for f in m.files if f not in set(files)), {}
     if stmt.where is not None and files:
         _, named = _scope(m, store.frame(m, files))
-        rest += store.write(m, _shown(m, named.where(~condition)))
-    return replace(m, files=rest, rows=m.rows - n), n
+        new = store.write(m, _shown(m, named.where(~condition)))
+    return replace(m.with_files(rest, new), rows=m.rows - n), n
 
 
 def update(stmt: T.Update, m: st.Manifest, store: st.Store) -> tuple[st.Manifest, int]:
+    """Files with a match are written anew, once; the checks read what was written, which counts only if they pass."""
     sets = {m.column(c).name: x for c, x in stmt.sets}
     condition, files, n = _matching(m, stmt.where, store)
     scope, named = _scope(m, store.frame(m, files))
@@ -158,20 +174,42 @@ def update(stmt: T.Update, m: st.Manifest, store: st.Store) -> tuple[st.Manifest
     if not n:
         return m, 0
     after = named.select(*[(F.when(condition, new[c.name]).otherwise(F.col(f"`{m.name}.{c.name}`")) if c.name in new else F.col(f"`{m.name}.{c.name}`")).alias(c.name) for c in m.columns])
+    written = store.write(m, after)
+    held = store.frame(m, tuple(written))
     for c in new:
-        if not m.column(c).nullable and after.where(F.col(f"`{c}`").isNull()).first():
+        if not m.column(c).nullable and held.where(F.col(f"`{c}`").isNull()).first():
             raise ExecutionError(f"NULL value in column '{c}' violates NOT NULL")
     rest = tuple(f for f in m.files if f not in set(files))
-    whole = store.frame(m, rest).unionByName(after) if rest else after
-    for index in m.indexes:
-        if index.unique and any(m.column(c).name in new for c in index.columns) and (key := repeated_key(whole, index.columns)):
-            raise duplicate(key, index)
     nextid = m.next
+    for index in m.indexes:
+        if index.unique and any(m.column(c).name in new for c in index.columns):
+            _check_changed_keys(held, written, rest, index, m, store)
     for c in m.columns:
         if c.primary and c.type == "INTEGER" and c.name in new:
-            most = after.agg(F.max(F.col(f"`{c.name}`"))).first()[0]
+            most = max((x["of"][c.name][1] for x in written.values() if x["of"][c.name][1] is not None), default=None)
             _, nextid = store.numbers(replace(m, next=nextid), [most] if most is not None else [], 0)
-    return replace(m, files=rest + store.write(m, after), next=nextid), n
+    return replace(m.with_files(rest, written), next=nextid), n
+
+
+def _check_changed_keys(held: DataFrame, written: dict[str, dict], rest: tuple[str, ...], index: st.Index, m: st.Manifest, store: st.Store) -> None:
+    """Keys of the files that were written must differ among themselves, and from those of the other files that may have one of them.
+
+    The rest of the table is unique already, so it is not grouped again.
+    """
+    if key := repeated_key(held, index.columns):
+        raise duplicate(key, index)
+    spans = []
+    for c in index.columns:
+        bounds = [x["of"].get(m.column(c).name) for x in written.values()]
+        if None in bounds or all(b[0] is None for b in bounds):
+            continue
+        known = [b for b in bounds if b[0] is not None]
+        spans += [Limit(T.Name(c), ">=", (min(b[0] for b in known),)), Limit(T.Name(c), "<=", (max(b[1] for b in known),))]
+    others = store.pruned(m, spans, rest)
+    if others:
+        keys = [F.col(f"`{c}`") for c in index.columns]
+        if row := held.select(*keys).join(store.frame(m, others).select(*keys), list(index.columns), "left_semi").first():
+            raise duplicate(tuple(row), index)
 
 
 Change = Callable[[object, st.Manifest, st.Store], tuple[st.Manifest, int]]

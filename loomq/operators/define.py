@@ -23,11 +23,16 @@ def create_table(stmt: T.CreateTable) -> st.Manifest:
 
 
 def create_index(stmt: T.CreateIndex, m: st.Manifest, store: st.Store) -> st.Manifest:
-    """Adds the index. It keeps no data of its own: a unique one is checked on each change, any one guides EXPLAIN."""
+    """Adds the index: bounds of its columns in each file, by which scans and changes skip files; a unique one is checked on each change.
+
+    Files keep their order; Engine.compact() writes them anew by ranges of the first index's columns.
+    """
     columns = tuple(m.column(c).name for c in stmt.columns)
     if stmt.unique and (key := repeated_key(store.frame(m), columns)):
         raise ExecutionError(f"Cannot create unique index '{stmt.name}': duplicate key ({', '.join(map(repr, key))})")
-    return replace(m, indexes=(*m.indexes, st.Index(stmt.name, columns, stmt.unique)))
+    found = store.measured(m, m.files, tuple(c for c in columns if c not in m.indexed))
+    facts = {f: x | {"of": x.get("of", {}) | found.get(f, {}).get("of", {})} for f, x in m.facts.items()}
+    return replace(m, indexes=(*m.indexes, st.Index(stmt.name, columns, stmt.unique)), facts=facts)
 
 
 def measure(df: DataFrame) -> tuple[int, dict[str, int]]:

@@ -1,14 +1,15 @@
 """SELECT as a lazy DataFrame: scans, joins, WHERE, aggregation, HAVING, ORDER BY, projection, DISTINCT, OFFSET, LIMIT.
 
 Nothing is collected and nothing is hinted: Catalyst prunes columns, pushes filters into scans and through joins, and
-picks join strategies by size. Sorting comes before projection, so ORDER BY may use columns that are not selected, and
-with LIMIT becomes one top-k operator.
+picks join strategies by size. Chains of inner joins begin with the smallest filtered table. Sorting comes before
+projection, so ORDER BY may use columns that are not selected, and with LIMIT becomes one top-k operator.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import PlanError
 from ..functions.expressions import Typed, compile_expression
 from ..plans import tree as T
+from ..plans.limits import Limit, limits_by_table
 from .scope import Bound, Scope
 
 
@@ -35,18 +37,80 @@ def label(item: T.Item) -> str:
     return "?"
 
 
-def from_clause(select: T.Select, scope: Scope, read: Callable[[str], DataFrame]) -> DataFrame:
-    df = scope.scan(select.table, read(select.table.name))
-    for join in select.joins:
-        right = scope.scan(join.table, read(join.table.name))
-        on = None if join.on is None else compile_expression(scope.bind(join.on), scope.leaf).condition()
+Read = Callable[..., DataFrame]
+
+
+def from_clause(select: T.Select, scope: Scope, read: Read, columns: Callable[[str], list[str]]) -> DataFrame:
+    tables = [select.table, *(j.table for j in select.joins)]
+    found = limits_by_table(select, [columns(t.name) for t in tables])
+    frames, conditions = [], [None]
+    for k, table in enumerate(tables):
+        frames.append(scope.scan(table, read(table.name, found[k])))
+        if k:  # a condition sees the tables up to its own
+            on = select.joins[k - 1].on
+            conditions.append(None if on is None else scope.bind(on))
+    compiled = lambda x: compile_expression(x, scope.leaf).condition()
+    if len(tables) > 2 and all(j.kind in ("inner", "cross") for j in select.joins) and not any(f.isStreaming for f in frames):
+        return _inner_chain(scope, frames, [c for x in conditions for c in conjuncts(x)], found, compiled)
+    df = frames[0]
+    for join, right, on in zip(select.joins, frames[1:], conditions[1:], strict=True):
         if join.kind == "cross":
-            df = df.crossJoin(right) if on is None else df.crossJoin(right).filter(on)
+            df = df.crossJoin(right) if on is None else df.crossJoin(right).filter(compiled(on))
         else:
-            df = df.join(right, F.lit(True) if on is None else on, join.kind)
+            df = df.join(right, F.lit(True) if on is None else compiled(on), join.kind)
     return df
 
 
+def conjuncts(x: object) -> list[object]:
+    match x:
+        case None:
+            return []
+        case T.Binary("AND", left, right):
+            return conjuncts(left) + conjuncts(right)
+    return [x]
+
+
+def _columns(x: object) -> set[str]:
+    return {x.column} if isinstance(x, Bound) else {c for y in T.children(x) for c in _columns(y)}
+
+
+def _inner_chain(scope: Scope, frames: list[DataFrame], on: list[object], limits: list[list[Limit]], compiled: Callable[[object], Column]) -> DataFrame:
+    """Inner joins in any order give the same rows: the smallest filtered table first, then whatever is tied to what is there by an equality, smaller ones before.
+
+    So filters on small tables thin out the large ones before these meet. Sizes are Spark's own of the files; a limit counts
+    for a tenth or a half. How each join is carried out stays Catalyst's choice.
+    """
+    table_of = {own: k for k, (_, columns) in enumerate(scope.tables) for own in columns.values()}
+    uses = [{table_of[c] for c in _columns(x)} for x in on]
+    ties = [u for x, u in zip(on, uses, strict=True) if isinstance(x, T.Binary) and x.op == "=" and len(u) > 1]
+
+    def size(k: int) -> float:
+        known = int(str(frames[k]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return known * math.prod(0.1 if x.op == "in" else 0.5 for x in limits[k])
+
+    sizes = [size(k) for k in range(len(frames))]
+    tied = [k for k in range(len(frames)) if any(k in u for u in ties)]
+    done = [min(tied or range(len(frames)), key=sizes.__getitem__)]
+    df, used = frames[done[0]], [not u for u in uses]
+    while True:
+        ready = [k for k, u in enumerate(uses) if not used[k] and u <= set(done)]
+        fits = [on[k] for k, u in enumerate(uses) if not u and len(done) == len(frames)] + [on[k] for k in ready]
+        if len(done) > 1 and fits:
+            df = df.join(right, reduce(Column.__and__, map(compiled, fits)), "inner")
+        elif len(done) > 1:
+            df = df.crossJoin(right)
+        elif fits:
+            df = df.filter(reduce(Column.__and__, map(compiled, fits)))
+        for k in ready:
+            used[k] = True
+        if len(done) == len(frames):
+            return df
+        left = [k for k in range(len(frames)) if k not in done]
+        near = [k for k in left if any(k in u and u - {k} <= set(done) for u in ties)]
+        done.append(min(near, key=sizes.__getitem__) if near else left[0])
+        right = frames[done[-1]]
+
+
 def _aggregate(name: str, arg: Typed | None, distinct: bool) -> tuple[Column, str]:
     """The aggregate over its argument, which is a column by now, and the result's kind."""
     if arg is None:
@@ -82,8 +146,8 @@ def aggregated(df: DataFrame, scope: Scope, keys: list[object], wanted: list[T.A
     for k, a in enumerate(dict.fromkeys(wanted)):
         arg = None if a.of is None else Typed(F.col(arg_of[a.of]), compiled[a.of].kind, compiled[a.of].type)
         column, kind = _aggregate(a.name, arg, a.distinct)
-        if a.name == "AVG" and a.distinct:
-            column = F.expr(f"avg(DISTINCT CAST({arg_of[a.of]} AS DOUBLE))")
+        if a.name == "AVG" and a.distinct:  # over the argument as it is, so that all distinct aggregates of it share one
+            column = F.expr(f"avg(DISTINCT {arg_of[a.of]})" if arg.kind in ("int", "float") else f"avg(DISTINCT CAST({arg_of[a.of]} AS DOUBLE))")
         columns.append(column.alias(f"__agg{k}"))
         results[a] = f"__agg{k}", Typed(F.col(f"__agg{k}"), kind, arg.type if arg else None)
     grouped = df.groupBy(*key_of.values())
@@ -101,9 +165,10 @@ def aggregated(df: DataFrame, scope: Scope, keys: list[object], wanted: list[T.A
     return df, leaf
 
 
-def select_frame(select: T.Select, spark: SparkSession, read: Callable[[str], DataFrame]) -> DataFrame:
+def select_frame(select: T.Select, spark: SparkSession, read: Read, columns: Callable[[str], list[str]]) -> DataFrame:
+    """read(name, limits) gives a table's rows, of which it may leave out those that fail a limit; columns(name) its columns."""
     scope = Scope()
-    df = from_clause(select, scope, read) if select.table else spark.range(1).select()
+    df = from_clause(select, scope, read, columns) if select.table else spark.range(1).select()
     if select.where is not None:
         df = df.filter(compile_expression(scope.bind(select.where), scope.leaf).condition())
 

@@ -73,10 +73,17 @@ SELECTS: dict[str, tuple[str, str | None]] = {
 }
 
 
+_engines: dict[tuple[str, str], Engine] = {}
+
+
 def star_schema(spark: SparkSession, sf_dir: str) -> Engine:
-    engine = Engine(spark)
-    engine.register_parquet(sf_dir, TABLES)
-    return engine
+    """An engine over the tables of sf_dir, one an application and folder: it has read the files' footers once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _engines:
+        _engines.clear()
+        _engines[key] = Engine(spark)
+        _engines[key].register_parquet(sf_dir, TABLES)
+    return _engines[key]
 
 
 def _select(sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -87,7 +94,7 @@ def _stored(spark: SparkSession, sf_dir: str, table: str, primary: tuple[str, ..
     """The columns of a star-schema table after statements on a stored copy of it."""
     engine = Engine(spark, shared_folder(spark))
     df = star_schema(spark, sf_dir).view(table).select(*columns)
-    engine.create_table_as(table, df.repartitionByRange(4, columns[0]), primary)
+    engine.create_table_as(table, df, primary, files=4)
     for s in statements:
         engine.mine.sql(s)
     return engine.sql(f"SELECT {', '.join(columns)} FROM {table}")

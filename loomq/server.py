@@ -1,7 +1,10 @@
 """A TCP server: each connection logs in, then sends SQL and gets result dicts as JSON, in a session of its own.
 
 A message is a little-endian u32 length and that many bytes of UTF-8, 16 MiB at most. `.quit` ends a connection. What a
-connection leaves open is rolled back.
+connection leaves open is rolled back. While no user exists, no log-in is asked for.
+
+A client whose first message holds "parts": true gets results of any size, in messages that say `more` while another
+follows; others get an error for what does not fit one message. The server holds one part at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .session import Engine
 #: Fixed values of the wire format.
 LENGTH, MOST = struct.Struct("<I"), 16 << 20
 PORT = 5433
+#: Bytes of rows in one part of a result; one row and the columns' names must fit into the rest of a message.
+PART = 4 << 20
 
 
 def send(sock: socket.socket, text: str) -> None:
@@ -49,17 +54,22 @@ class _Connection(socketserver.BaseRequestHandler):
         engine: Engine = self.server.engine
         session = engine.session()
         try:
-            if not self._log_in(engine):
+            first = receive(self.request)
+            if not self._log_in(engine, first):
                 return
             while True:
-                sql = receive(self.request).strip()
-                if sql == ".quit":
+                sql, first = (first if first is not None and not self._greets(first) else receive(self.request)).strip(), None
+                if sql.lower() == ".quit":
                     return self._reply({"columns": [], "rows": [], "message": "Goodbye"})
                 if not sql:
                     self._reply({"columns": [], "rows": [], "message": ""})
                     continue
+                if self.parts:
+                    for part in session.parts(sql, PART):
+                        self._reply(part)
+                    continue
                 try:
-                    self._reply(session.execute(sql))
+                    self._reply(session.execute(sql, MOST))
                 except ValueError as e:  # too large to send
                     self._reply({"columns": [], "rows": [], "message": f"Error: {e}"})
         except (ConnectionError, ValueError, OSError):
@@ -70,13 +80,28 @@ class _Connection(socketserver.BaseRequestHandler):
     def _reply(self, value: dict) -> None:
         send(self.request, json.dumps(value, default=str, ensure_ascii=False))
 
-    def _log_in(self, engine: Engine) -> bool:
+    parts = False
+
+    def _greets(self, message: str) -> dict | None:
+        """A first message that is not SQL: it holds credentials, or asks for parts."""
+        try:
+            asked = json.loads(message)
+        except json.JSONDecodeError:
+            return None
+        return asked if isinstance(asked, dict) and asked.keys() & {"auth", "parts"} else None
+
+    def _log_in(self, engine: Engine, first: str) -> bool:
+        asked = self._greets(first)
+        self.parts = bool(asked and asked.get("parts"))
+        if not engine.users.names():
+            if asked:
+                self._reply({"ok": True, "message": "No users"})
+            return True
         try:
-            asked = json.loads(receive(self.request))["auth"]
-            user, password = asked["username"], asked["password"]
+            user, password = asked["auth"]["username"], asked["auth"]["password"]
             if not isinstance(user, str) or not isinstance(password, str):
                 raise TypeError
-        except (json.JSONDecodeError, KeyError, TypeError):
+        except (KeyError, TypeError):
             self._reply({"ok": False, "message": "Expected auth message"})
             return False
         ok = engine.users.accepts(user, password)

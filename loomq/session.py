@@ -14,8 +14,11 @@ no user exists until one is created.
 
 from __future__ import annotations
 
+import json
 import threading
+from collections.abc import Iterator
 from dataclasses import replace
+from itertools import islice
 from pathlib import PurePosixPath
 
 from pyspark.errors import PySparkException
@@ -32,10 +35,15 @@ from .plans import tree as T
 from .plans.explain import Facts, explained
 from .plans.grammar import parse
 from .plans.lexer import statements
+from .plans.limits import Limit, limits_by_table
 from .sources.locks import TIMEOUT, TableLocks
 from .sources.store import SPARK_TYPES, Manifest, Store
 
 
+#: Bytes of JSON up to which execute() gives a result as one dict.
+MOST_BYTES = 256 << 20
+
+
 class Engine:
     """The tables and users under one folder, on one SparkSession. Without a path: registered tables only."""
 
@@ -65,29 +73,46 @@ class Engine:
         for n in names:
             self.register(n, str(PurePosixPath(folder) / f"{n}.parquet") if "://" not in folder else f"{folder}/{n}.parquet")
 
-    def create_table_as(self, name: str, df: DataFrame, primary: tuple[str, ...] = ()) -> None:
-        """A new table of the store with the rows of df, whose types must be of the dialect's four kinds; primary names its key."""
+    def create_table_as(self, name: str, df: DataFrame, primary: tuple[str, ...] = (), *, files: int | None = None) -> None:
+        """A new table of the store with the rows of df, whose types must be of the dialect's four kinds; primary names its key.
+
+        A table with a key is written by ranges of it, in `files` files, by default as many as df has partitions. It appears whole
+        or, if a check fails, not at all.
+        """
         kinds = {"int": "INTEGER", "float": "FLOAT", "text": "TEXT", "bool": "BOOLEAN"}
         specs = []
         for f in df.schema.fields:
             if kind_of(f.dataType) not in kinds:
                 raise LoomError(f"Unknown column type: {f.dataType.simpleString()}")
             specs.append(T.ColumnSpec(f.name, kinds[kind_of(f.dataType)], f.name not in primary, f.name in primary))
-        mine = self.mine
-        mine.run(T.CreateTable(name, tuple(specs)))
-        m = mine.store.get(name)
+        store = self.mine.new_table(name)
+        m = define.create_table(T.CreateTable(name, tuple(specs)))
         cast = df.select(*[F.col(f"`{c.name}`").cast(SPARK_TYPES[c.type]).alias(c.name) for c in m.columns])
-        files = mine.store.write(m, cast)
-        held = mine.store.frame(m, files)
+        if primary:
+            cast = cast.repartitionByRange(files or max(1, df.rdd.getNumPartitions()), *[F.col(f"`{c}`") for c in primary])
+        elif files:
+            cast = cast.repartition(files)
+        m = m.with_files((), store.write(m, cast))
+        held = store.frame(m)
         for index in m.indexes:
             if held.where(" OR ".join(f"`{c}` IS NULL" for c in index.columns)).first():
                 raise ExecutionError(f"NULL value in column '{index.columns[0]}' violates NOT NULL")
             if key := repeated_key(held, index.columns):
                 raise duplicate(key, index)
         key_column = next((c.name for c in m.columns if c.primary and c.type == "INTEGER"), None)
-        counted = held.agg(F.count(F.lit(1)), *([F.max(F.col(f"`{key_column}`"))] if key_column else [])).first()
-        following = (counted[1] or 0) + 1 if key_column else 1
-        mine.store.commit({name.lower(): replace(m, files=files, rows=counted[0], next=following)}, {name.lower(): mine.store.paths[name.lower()]})
+        most = max((x["of"][key_column][1] for x in m.facts.values()), default=0) if key_column else 0
+        store.commit({name.lower(): replace(m, rows=sum(x["rows"] for x in m.facts.values()), next=max(most, 0) + 1)}, {})
+
+    def compact(self, table: str) -> None:
+        """Writes a table's files anew, by ranges of its first index's columns: fewer files, and bounds that tell them apart."""
+        mine = self.mine
+        if mine.open:
+            raise ExecutionError("A transaction is already in progress")
+        try:
+            mine.staged[table.lower()] = mine.store.compacted(mine._stage(table))
+            mine.commit()
+        finally:
+            mine.rollback()
 
     def session(self) -> Session:
         s = Session(self)
@@ -151,19 +176,27 @@ class Session:
     def manifest(self, name: str) -> Manifest:
         return self.staged.get(name.lower()) or self.store.get(name)
 
-    def read(self, name: str) -> DataFrame:
+    def stored(self, name: str) -> bool:
+        return bool(self.engine.store) and (name.lower() in self.staged or name.lower() in self.engine.store.paths)
+
+    def columns(self, name: str) -> list[str]:
+        return [c.name for c in self.manifest(name).columns] if self.stored(name) else self.read(name).columns
+
+    def read(self, name: str, limits: list[Limit] | None = None) -> DataFrame:
+        """The table's rows; of a stored table, those of files that may hold a row which meets limits."""
         key = name.lower()
-        if self.engine.store and (key in self.staged or key in self.engine.store.paths):
+        if self.stored(name):
             if self.open:
                 self.engine.locks.read(key, self)
-            return self.store.frame(self.manifest(name))
+            m = self.manifest(name)
+            return self.store.frame(m, self.store.pruned(m, limits or []))
         if key in self.engine.views:
             return self.engine.view(key)
         raise LoomError(f"Table '{name}' does not exist")
 
     def facts(self, name: str) -> Facts:
         key = name.lower()
-        if self.engine.store and (key in self.staged or key in self.engine.store.paths):
+        if self.stored(name):
             m = self.manifest(name)
             return Facts(m.rows, len(m.files), m.distinct, tuple((i.name, i.columns) for i in m.indexes))
         self.read(name)
@@ -209,16 +242,24 @@ class Session:
         """The result as a DataFrame: of a SELECT lazily, of any other statement its message."""
         stmt = parse(sql)
         if isinstance(stmt, T.Select):
-            return select_frame(stmt, self.engine.spark, self.read)
+            return self.select(stmt)
         if isinstance(stmt, T.Explain):
             return self.engine.spark.createDataFrame([(self.explain(stmt.of),)], "plan string")
         return self.engine.spark.createDataFrame([(self.run(stmt),)], "message string")
 
+    def select(self, stmt: T.Select) -> DataFrame:
+        return select_frame(stmt, self.engine.spark, self.read, self.columns)
+
     def explain(self, select: T.Select) -> str:
-        """The plan with estimates, then what Spark makes of it."""
-        df = select_frame(select, self.engine.spark, self.read)
-        physical = df._jdf.queryExecution().executedPlan().toString()
-        return f"{explained(select, self.facts)}\n\nSpark plan\n{physical.rstrip()}"
+        """The plan with estimates, the files of stored tables that are opened, then what Spark makes of it."""
+        physical = self.select(select)._jdf.queryExecution().executedPlan().toString()
+        parts = [explained(select, self.facts)]
+        tables = [t for t in (select.table, *(j.table for j in select.joins)) if t]
+        if any(self.stored(t.name) for t in tables):
+            found = limits_by_table(select, [self.columns(t.name) for t in tables])
+            lines = [f"  {t.name}: {len(self.store.pruned(m, x))} of {len(m.files)}" for t, x in zip(tables, found, strict=True) if self.stored(t.name) and (m := self.manifest(t.name))]
+            parts.append("\n".join(["Files opened", *lines]))
+        return "\n\n".join([*parts, f"Spark plan\n{physical.rstrip()}"])
 
     def run(self, stmt: object) -> str:
         """Carries out any statement but SELECT and EXPLAIN; its message."""
@@ -252,15 +293,20 @@ class Session:
             self.commit()
         return f"{n} row(s) {done}"
 
+    def new_table(self, name: str) -> Store:
+        """The store, if name is free in it."""
+        self.store.refresh()
+        if name.lower() in self.store.paths or name.lower() in self.engine.views:
+            raise LoomError(f"Table '{name}' already exists")
+        return self.store
+
     def _define(self, stmt: T.CreateTable | T.DropTable | T.CreateIndex) -> str:
         """DDL commits at once, also within a transaction."""
         key, store = stmt.table.lower(), self.store
-        store.refresh()
         if isinstance(stmt, T.CreateTable):
-            if key in store.paths or key in self.engine.views:
-                raise LoomError(f"Table '{stmt.table}' already exists")
-            store.commit({key: define.create_table(stmt)}, {})
+            self.new_table(stmt.table).commit({key: define.create_table(stmt)}, {})
             return f"Table '{stmt.table}' created"
+        store.refresh()
         m = store.get(stmt.table)
         if isinstance(stmt, T.DropTable):
             self.engine.locks.write(key, self)
@@ -281,7 +327,7 @@ class Session:
     def _analyze(self, table: str) -> str:
         rows, distinct = define.measure(self.read(table))
         key = table.lower()
-        if not (self.engine.store and (key in self.staged or key in self.engine.store.paths)):
+        if not self.stored(table):
             pages = len(self.read(table).inputFiles())
             self.engine.view_facts[key] = Facts(rows, pages, distinct)
             return define.analysis(table, rows, pages, distinct)
@@ -292,18 +338,37 @@ class Session:
             self.store.commit({key: m}, {key: self.store.paths[key]})
         return define.analysis(table, rows, len(m.files), distinct)
 
-    def execute(self, sql: str) -> dict:
-        """The result as a dict; errors are its message, with their kind in front. Rows are collected: for small results."""
+    def parts(self, sql: str, part_bytes: int) -> Iterator[dict]:
+        """The result in dicts of about part_bytes of JSON, one row at least; `more` says that another follows. Errors are their message, with their kind in front.
+
+        Rows come from Spark partition by partition, so the driver holds one partition and one part, whatever the result.
+        """
         try:
             stmt = parse(sql)
             if isinstance(stmt, T.Select):
-                df = select_frame(stmt, self.engine.spark, self.read)
-                rows = [list(r) for r in df.collect()]
-                return {"columns": df.columns, "rows": rows, "message": f"{len(rows)} row(s)"}
-            if isinstance(stmt, T.Explain):
-                return {"columns": ["plan"], "rows": [[self.explain(stmt.of)]], "message": "EXPLAIN"}
-            return {"columns": [], "rows": [], "message": self.run(stmt)}
+                df = self.select(stmt)
+                rows, size, n = [], 0, 0
+                for r in df.toLocalIterator(prefetchPartitions=True):
+                    row = list(r)
+                    length = len(json.dumps(row, default=str, ensure_ascii=False).encode()) + 2
+                    if rows and size + length > part_bytes:
+                        yield {"columns": df.columns, "rows": rows, "message": "", "more": True}
+                        rows, size = [], 0
+                    rows.append(row)
+                    size, n = size + length, n + 1
+                yield {"columns": df.columns, "rows": rows, "message": f"{n} row(s)"}
+            elif isinstance(stmt, T.Explain):
+                yield {"columns": ["plan"], "rows": [[self.explain(stmt.of)]], "message": "EXPLAIN"}
+            else:
+                yield {"columns": [], "rows": [], "message": self.run(stmt)}
         except LoomError as e:
-            return {"columns": [], "rows": [], "message": f"{e.prefix}: {e}"}
+            yield {"columns": [], "rows": [], "message": f"{e.prefix}: {e}"}
         except PySparkException as e:
-            return {"columns": [], "rows": [], "message": f"Error: {e}"}
+            yield {"columns": [], "rows": [], "message": f"Error: {e}"}
+
+    def execute(self, sql: str, most_bytes: int = MOST_BYTES) -> dict:
+        """The whole result as a dict, if it is of most_bytes at most; else an error that says so: sql() has no such bound."""
+        found = list(islice(self.parts(sql, most_bytes), 2))
+        if len(found) > 1:
+            return {"columns": [], "rows": [], "message": f"Error: Message too large: more than {most_bytes} bytes; use a DataFrame, or LIMIT"}
+        return found[0]

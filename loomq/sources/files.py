@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -26,9 +27,11 @@ class Folder:
         path = self._path(self.at(name))
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
 
-    def files(self, name: str) -> list[str]:
-        """Data files under a folder, as names from the root."""
-        return [f"{name}/{x}" for x in self.names(name) if x.startswith("part-")]
+    def files(self, name: str) -> dict[str, int]:
+        """Data files under a folder, as names from the root, and their bytes."""
+        path = self._path(self.at(name))
+        found = {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(path)} if self.fs.exists(path) else {}
+        return {f"{name}/{x}": found[x] for x in sorted(found) if x.startswith("part-")}
 
     def read(self, name: str) -> object:
         stream = self.fs.open(self._path(self.at(name)))
@@ -38,7 +41,11 @@ class Folder:
             stream.close()
 
     def create(self, name: str, value: object) -> bool:
-        """Writes a new JSON file; False, and nothing done, if there is one by that name. The file appears whole."""
+        """Writes a new JSON file; False, and nothing done, if there is one by that name. The file appears whole.
+
+        A local file system's rename writes over what is there, so there the name is a hard link, which is exclusive; others
+        (HDFS) refuse to rename onto a file.
+        """
         side = self._path(self.at(f"_tmp/{name.replace('/', '-')}-{self._jvm.java.util.UUID.randomUUID().toString()}"))
         stream = self.fs.create(side, True)
         try:
@@ -47,14 +54,21 @@ class Folder:
             stream.close()
         target = self._path(self.at(name))
         self.fs.mkdirs(target.getParent())
-        if not self.fs.exists(target) and self.fs.rename(side, target):
-            return True
-        self.fs.delete(side, False)
-        return False
-
-    def replace(self, name: str, value: object) -> None:
-        self.fs.delete(self._path(self.at(name)), False)
-        self.create(name, value)
+        try:
+            if self.fs.exists(target):
+                return False
+            if target.toUri().getScheme() == "file":
+                old, new = (self._jvm.java.io.File(p.toUri().getPath()).toPath() for p in (side, target))
+                try:
+                    self._jvm.java.nio.file.Files.createLink(new, old)
+                except Py4JJavaError:
+                    if self.fs.exists(target):
+                        return False  # another writer was first
+                    raise
+                return True
+            return self.fs.rename(side, target)
+        finally:
+            self.fs.delete(side, False)
 
     def remove(self, name: str) -> None:
         self.fs.delete(self._path(self.at(name)), True)

@@ -103,3 +103,24 @@ def test_streams(spark, tmp_path):
     e.register("s", spark.readStream.schema("k bigint").parquet(str(tmp_path / "in")))
     start(e, "SELECT k, COUNT(*) AS n FROM s WHERE k > 0 GROUP BY k", "counts", str(tmp_path / "c")).awaitTermination(60)
     assert sorted(map(tuple, spark.table("counts").collect())) == [(1, 7), (2, 6)]
+
+
+def test_inner_chains_begin_with_the_smallest_filtered_table(spark, tmp_path):
+    e = Engine(spark)
+    spark.range(20_000).selectExpr("id AS f", "id % 50 AS d", "repeat('x', 20) AS pad").write.parquet(str(tmp_path / "fact"))
+    spark.range(50).selectExpr("id AS d", "id % 5 AS r").write.parquet(str(tmp_path / "dim"))
+    spark.range(5).selectExpr("id AS r", "concat('r', id) AS name").write.parquet(str(tmp_path / "region"))
+    for t in ("fact", "dim", "region"):
+        e.register(t, str(tmp_path / t))
+    df = e.sql("SELECT * FROM fact JOIN dim ON fact.d = dim.d JOIN region ON dim.r = region.r AND fact.f < 100 WHERE region.name = 'r3'")
+    assert df.columns == ["f", "d", "pad", "d", "r", "r", "name"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Relation [r#") < plan.index("Relation [f#")
+    assert sorted(r[0] for r in df.collect()) == [i for i in range(100) if i % 50 % 5 == 3]
+    assert e.sql("SELECT a.r FROM region a JOIN region b JOIN region c ON a.r < b.r AND b.r < c.r").count() == 10
+    assert e.sql("SELECT a.r FROM region a CROSS JOIN region b JOIN region c ON c.r = a.r + b.r AND 1 = 1").count() == 15
+
+
+def test_distinct_average_shares_the_argument(engine):
+    df = engine.sql("SELECT COUNT(DISTINCT k) AS n, AVG(DISTINCT k) AS a, SUM(DISTINCT k) AS s FROM l")
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString() and rows(engine, "SELECT COUNT(DISTINCT k) AS n, AVG(DISTINCT k) AS a, SUM(DISTINCT k) AS s FROM l") == [(2, 1.5, 3)]

@@ -174,3 +174,104 @@ def test_tables_from_frames(engine, spark):
     engine.register("view", spark.range(3))
     assert message(engine, "DELETE FROM view") == "Execution error: Table 'view' is read-only"
     assert message(engine, "ANALYZE view") == "ANALYZE view: row_count=3, page_count=0, id.ndv=3"
+
+
+@pytest.mark.parametrize("root", ["x/tables/db", "with blank/db", "100%25/a%20b", "tables/tables"])
+def test_changes_reach_files_under_any_root(spark, tmp_path, root):
+    with Engine(spark, str(tmp_path / root)) as e:
+        e.script("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT); INSERT INTO t VALUES (1, 'a'), (2, 'b'); INSERT INTO t VALUES (3, 'c')")
+        assert message(e, "DELETE FROM t WHERE id = 2") == "1 row(s) deleted"
+        assert message(e, "UPDATE t SET v = 'z' WHERE v = 'c'") == "1 row(s) updated"
+        assert rows(e, "SELECT id, v FROM t ORDER BY id") == [[1, "a"], [3, "z"]] and e.store.get("t").rows == 2
+        assert len(e.store.get("t").files) == 2
+
+
+def test_create_table_as_is_all_or_nothing(spark, engine):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "k bigint, v string")
+    with pytest.raises(ExecutionError, match="Duplicate key"):
+        engine.create_table_as("t", df, ("k",))
+    assert engine.tables() == []
+    engine.create_table_as("t", df.where("v = 'a'"), ("k",))
+    assert message(engine, "INSERT INTO t (v) VALUES ('next')") == "1 row(s) inserted" and rows(engine, "SELECT k FROM t ORDER BY k") == [[1], [2]]
+    with pytest.raises(LoomError, match="already exists"):
+        engine.create_table_as("T", df)
+
+
+def test_the_log_entry_is_exclusive(engine):
+    import threading
+
+    made = []
+
+    def make(k):
+        made.append(engine.store.folder.create("_log/x.json", {"k": k}))
+
+    workers = [threading.Thread(target=make, args=(k,)) for k in range(8)]
+    [w.start() for w in workers]
+    [w.join() for w in workers]
+    assert sorted(made) == [False] * 7 + [True]
+
+
+@pytest.fixture
+def ranged(spark, tmp_path):
+    with Engine(spark, str(tmp_path / "ranged")) as e:
+        e.create_table_as("t", spark.range(1000).selectExpr("id", "id % 7 AS g", "concat('n', lpad(id, 4, '0')) AS name", "cast(id AS double) / 2 AS f"), ("id",), files=10)
+        yield e
+
+
+def opened(engine, sql):
+    return engine.execute(f"EXPLAIN {sql}")["rows"][0][0].split("Files opened\n")[1].split("\n\n")[0].strip()
+
+
+def test_scans_skip_files_by_the_key(ranged):
+    assert opened(ranged, "SELECT g FROM t WHERE id = 421") == "t: 1 of 10" and rows(ranged, "SELECT g FROM t WHERE id = 421") == [[1]]
+    assert opened(ranged, "SELECT g FROM t WHERE 990 <= id AND g > 2") == "t: 1 of 10"
+    assert opened(ranged, "SELECT g FROM t WHERE id IN (5, 7, NULL)") == "t: 1 of 10" and rows(ranged, "SELECT COUNT(*) FROM t WHERE id IN (5, 7, NULL)") == [[2]]
+    assert opened(ranged, "SELECT g FROM t WHERE id BETWEEN -5 AND 1.5") == "t: 1 of 10" and rows(ranged, "SELECT COUNT(*) FROM t WHERE id BETWEEN -5 AND 1.5") == [[2]]
+    for whole in ("g = 3", "id = 'x'", "id = 1 OR g = 2", "NOT (id = 1)", "id + 0 = 1", "id = g"):
+        assert opened(ranged, f"SELECT g FROM t WHERE {whole}") == "t: 10 of 10", whole
+    assert opened(ranged, "SELECT g FROM t WHERE id > 5000") == "t: 0 of 10" and rows(ranged, "SELECT COUNT(*) FROM t WHERE id > 5000") == [[0]]
+    assert opened(ranged, "SELECT a.g FROM t a LEFT JOIN t b ON a.id = b.g WHERE b.id < 3 AND id > 990") == "t: 1 of 10\n  t: 1 of 10"
+    want = [(a, b) for a in range(991, 1000) for b in range(3) if a == b % 7]
+    assert len(rows(ranged, "SELECT a.g FROM t a LEFT JOIN t b ON a.id = b.g WHERE b.id < 3 AND id > 990") if want else []) == len(want)
+    ranged.execute("CREATE INDEX names ON t (name)")
+    assert opened(ranged, "SELECT g FROM t WHERE name >= 'n0950'") == "t: 1 of 10"
+
+
+def test_changes_open_only_files_that_may_match(ranged):
+    before = set(ranged.store.get("t").files)
+    assert message(ranged, "UPDATE t SET f = 0 WHERE id = 421") == "1 row(s) updated"
+    assert len(before & set(ranged.store.get("t").files)) == 9
+    assert message(ranged, "DELETE FROM t WHERE id > 5000") == "0 row(s) deleted"
+    assert message(ranged, "UPDATE t SET id = 3 WHERE id = 421").startswith("Execution error: Duplicate key (3)")
+    assert message(ranged, "UPDATE t SET id = id + 1 WHERE id >= 990") == "10 row(s) updated"
+    assert message(ranged, "INSERT INTO t (id) VALUES (990)") == "1 row(s) inserted" and message(ranged, "INSERT INTO t (id) VALUES (1000)").startswith("Execution error: Duplicate")
+    assert rows(ranged, "SELECT COUNT(*), MIN(id), MAX(id) FROM t") == [[1001, 0, 1000]]
+
+
+def test_small_files_are_merged_and_tables_compacted(spark, tmp_path, monkeypatch):
+    from loomq.sources import store
+
+    monkeypatch.setattr(store, "MANY", 5)
+    with Engine(spark, str(tmp_path / "db")) as e:
+        e.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT)")
+        for k in range(12):
+            e.execute(f"INSERT INTO t (v) VALUES ('{k}')")
+            assert len(e.store.get("t").files) < 5
+        assert rows(e, "SELECT COUNT(*), COUNT(DISTINCT v), MAX(id) FROM t") == [[12, 12, 12]]
+        e.create_table_as("u", spark.range(100, 0, -1).selectExpr("id", "id AS w"), files=6)
+        e.execute("CREATE INDEX iu ON u (id)")
+        m = e.store.compacted(e.store.get("u"), file_bytes=2000)
+        bounds = sorted(x["of"]["id"] for x in m.facts.values())
+        assert len(bounds) > 2 and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))  # by ranges of the index
+        e.compact("u")
+        assert len(e.store.get("u").files) == 1 and rows(e, "SELECT COUNT(*), SUM(w) FROM u WHERE id > 50") == [[50, 3775]]
+
+
+def test_old_manifests_without_facts_are_read_whole(ranged):
+    from dataclasses import replace
+
+    from loomq.plans.limits import limits
+    from loomq.plans.grammar import parse
+
+    m = replace(ranged.store.get("t"), facts={})
+    assert ranged.store.pruned(m, limits(parse("SELECT 1 FROM t WHERE id = 5").where)) == m.files

@@ -100,3 +100,39 @@ def test_shell(engine):
 def test_boxed():
     assert boxed([], []) == ""
     assert boxed(["a"], []) == "+---+\n| a |\n+---+\n+---+"
+
+
+def test_a_server_without_users(spark, tmp_path):
+    with Engine(spark, str(tmp_path / "open")) as e:
+        s = Server(e, port=0).start()
+        try:
+            with Client(port=s.port) as db:
+                assert db.connected and db.execute("SELECT 1 AS a")["rows"] == [[1]]
+            assert not db.connected
+            with Client(port=s.port, username="any", password="one") as db:
+                assert db.execute("SELECT 2 AS a")["rows"] == [[2]]
+            with socket.create_connection(("127.0.0.1", s.port)) as raw:  # SQL from the first message on
+                send(raw, "SELECT 3 AS a")
+                assert '"rows": [[3]]' in receive(raw)
+                send(raw, ".QUIT")
+                assert "Goodbye" in receive(raw)
+        finally:
+            s.stop()
+
+
+def test_results_larger_than_a_message(spark, tmp_path):
+    with Engine(spark) as e:
+        e.register("big", spark.range(60_000).selectExpr("id", "repeat('x', 400) AS v"))
+        s = Server(e, port=0).start()
+        try:
+            with Client(port=s.port) as db:
+                sizes = [len(p["rows"]) for p in db.parts("SELECT id, v FROM big ORDER BY id")]
+                assert len(sizes) > 4 and sum(sizes) == 60_000
+                got = db.execute("SELECT id, v FROM big ORDER BY id")
+                assert [r[0] for r in got["rows"]] == list(range(60_000)) and got["message"] == "60000 row(s)"
+            with socket.create_connection(("127.0.0.1", s.port)) as raw:  # a client that knows no parts
+                send(raw, "SELECT id, v FROM big")
+                assert "Message too large" in receive(raw)
+        finally:
+            s.stop()
+        assert e.mine.execute("SELECT v FROM big", most_bytes=1000)["message"].startswith("Error: Message too large")
