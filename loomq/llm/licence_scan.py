@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
@@ -123,6 +124,10 @@ def tokens_by_line(text: str) -> tuple[list[str], list[int]]:
     return words, sorted(set(starts))
 
 
+#: Digests of known texts up to which they are broadcast: some 10 MB.
+BROADCAST_MOST = 100_000
+
+
 class Runs:
     """Known canonical texts by their first words and length in words."""
 
@@ -131,15 +136,31 @@ class Runs:
     def __init__(self, known: Mapping[str, str | tuple[str, ...]]):
         self.names = digests(known)
         self.lengths: dict[tuple[str, ...], set[int]] = {}
-        anchors: set[str] = set()
-        made = {y for _, new in SPELLINGS for y in new.split()}
+        texts = []
         for text in {canonical_text(t) for x in known.values() for t in ([x] if isinstance(x, str) else x)}:
             if words := text.split(" ") if text else []:
                 self.lengths.setdefault(tuple(words[: self.FIRST]), set()).add(len(words))
-                # the longest early word that no other spelling leads to; else any of its spellings
-                plain = [w for w in words[:8] if w not in made]
-                anchors |= {max(plain, key=len)} if plain else {o.split()[0] for o, n in SPELLINGS if words[0] in n.split()} | {words[0]}
-        self.anchors = "|".join(map(re.escape, sorted(anchors)))
+                texts.append(set(words))
+        self.anchors = self._anchors(texts)
+
+    @staticmethod
+    def _anchors(texts: list[set[str]]) -> list[str]:
+        """Strings of which each text that is one of the known ones holds at least one, in lower case: few, and of long words.
+
+        A word that another spelling leads to is no anchor; where a text has no other words, all spellings of one are.
+        """
+        made, out = {y for _, new in SPELLINGS for y in new.split()}, set()
+        while texts:
+            count = Counter(w for t in texts for w in t if w not in made)
+            if not count:
+                word = min(min(t) for t in texts)
+                out |= {o.split()[0] for o, n in SPELLINGS if word in n.split()} | {word}
+                texts = [t for t in texts if word not in t]
+                continue
+            best = max(count, key=lambda w: (min(len(w), 6), count[w], w))
+            out.add(best)
+            texts = [t for t in texts if best not in t]
+        return sorted(out)
 
     def found(self, text: str | None) -> list[str]:
         """Names of the known texts that are runs of whole lines of text, sorted, each once."""
@@ -159,8 +180,8 @@ class Runs:
 def scan(docs: DataFrame, known: Mapping[str, str | tuple[str, ...]] = KNOWN, *, lines: bool = True) -> DataFrame:
     """doc_id, digest (of the whole canonical text), licence (null if unknown), and the known texts among its runs of lines.
 
-    One row a row of docs (doc_id, text). The join is on the digest of entire texts; the known table is a parameter, and
-    Spark broadcasts it only if it is small. With lines, `notices` lists what runs of lines are, sorted, each once.
+    One row a row of docs (doc_id, text). The join is on the digest of entire texts; the known table is broadcast up to
+    BROADCAST_MOST digests, and joined as Spark will beyond. With lines, `notices` lists what runs of lines are, sorted, each once.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -176,10 +197,14 @@ def scan(docs: DataFrame, known: Mapping[str, str | tuple[str, ...]] = KNOWN, *,
                     part = b.slice(at, n)
                     yield pa.record_batch([part.column(0), part.column(1), pa.array([runs.found(t) for t in part.column(2).to_pylist()], pa.list_(pa.string()))], schema=schema)
 
-        worth = F.when(F.lower("text").rlike(runs.anchors), F.col("text"))  # only these texts leave the JVM
+        held = F.exists(F.array(*map(F.lit, runs.anchors)), lambda a: F.contains("low", a))
+        rows = rows.select("doc_id", "text", F.lower("text").alias("low"))
+        worth = F.when(held, F.col("text"))  # only these texts leave the JVM
         out = _shared.arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), worth.alias("text")), look, "doc_id long, digest string, notices array<string>")
     else:
         out = rows.select("doc_id", digest.alias("digest"), F.array().cast("array<string>").alias("notices"))
+    if len(runs.names) <= BROADCAST_MOST:
+        found = F.broadcast(found)
     return out.join(found, "digest", "left").select("doc_id", "digest", "licence", "notices")
 
 
