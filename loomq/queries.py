@@ -28,7 +28,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "filter_not_in": ("SELECT p_partkey, p_size FROM part WHERE p_size NOT IN (1, 2, 3)", None),
     "filter_like": ("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name LIKE '%ring' OR p_brand LIKE 'Brand#_'", None),
     "filter_not_like": ("SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE '%a%'", None),
-    "filter_is_null": ("SELECT event_id, value FROM events WHERE value IS NOT NULL", None),
+    "filter_is_null": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NOT NULL AND NOT (c_name IS NULL)", None),
     "filter_truthy_number": ("SELECT l_orderkey, l_discount FROM lineitem WHERE l_discount AND l_tax", "SELECT l_orderkey, l_discount FROM lineitem WHERE l_discount <> 0 AND l_tax <> 0"),
     "filter_text_number": ("SELECT c_custkey FROM customer WHERE c_custkey <> '1'", "SELECT c_custkey FROM customer"),
     "filter_date_text": ("SELECT o_orderkey FROM orders WHERE o_orderdate < '1995-06-17'", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-17'"),

@@ -21,6 +21,7 @@ from dataclasses import replace
 from itertools import islice
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -363,8 +364,9 @@ class Session:
                 yield {"columns": [], "rows": [], "message": self.run(stmt)}
         except LoomError as e:
             yield {"columns": [], "rows": [], "message": f"{e.prefix}: {e}"}
-        except PySparkException as e:
-            yield {"columns": [], "rows": [], "message": f"Error: {e}"}
+        except (PySparkException, Py4JJavaError) as e:  # rows that come one by one fail with the latter
+            cause = e.java_exception.getCause() if isinstance(e, Py4JJavaError) else None
+            yield {"columns": [], "rows": [], "message": f"Error: {cause.getMessage() if cause else e}"}
 
     def execute(self, sql: str, most_bytes: int = MOST_BYTES) -> dict:
         """The whole result as a dict, if it is of most_bytes at most; else an error that says so: sql() has no such bound."""
