@@ -8,22 +8,28 @@ result is exact, up to equal 64-bit hashes of different shingles.
 2. Of each set's shingles in that order, the first few (n - ceil(percent * n) + 1 of n) are its prefix. Linked sets share
    a prefix shingle. Equal sets are one class from here on.
 3. Prefix shingles that only one class has are dropped. A class that has an eighth of the others in common with one pivot, the
-   first class of about its size that has them, joins that pivot's group; groups are split into blocks of bounded size.
-4. The matrix holds, for each block, the union of its members' prefix shingles. Two blocks can only hold a linked pair if
-   their unions share at least as many as linked sets of their sizes must; only such pairs of blocks are opened.
-5. Opening a pair of blocks compares the full sets of their members at once. It gives each member's number of links
+   first class of about its size that has them, joins that pivot's group.
+4. In a group too large for one block, every class is compared with the pivot P first. With k(A) = |A and P| the overlap of two
+   members is at least k(A) + k(B) - |P|, so A and B surely link if s(A) + s(B) >= (100 + percent) * |P|, where s(A) =
+   (100 + percent) * k(A) - percent * |A|. The group is cut into cells by s. Pairs of cells that surely link are counted by their
+   weights and never opened: a family of close copies costs its size, not its square.
+5. The matrix holds, for each cell, the union of its members' prefix shingles. Two cells can only hold a linked pair if
+   their unions share at least as many as linked sets of their sizes must; only such pairs are opened, block by block, a
+   block being a bounded part of a cell.
+6. Opening a pair of blocks compares the full sets of their members at once. It gives each member's number of links
    and one link to its local component, never all pairs.
-6. Components of those links are components of all links.
+7. Components of those links are components of all links.
 
 Defined cases: with fewer words than a shingle has, the whole sequence is one shingle; without words, or with null text,
 a set is empty and links with nothing. Rows that share a doc_id are compared each with its own text. Rows without a
-doc_id are not compared: their component_id and n_links are null.
+doc_id are not compared: their component_id and n_links are null. A text counts whole, however long. An empty table gives no
+rows. Columns but doc_id and text are ignored, whatever their names, and kept by one_of_each().
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +42,12 @@ from pyspark.sql import functions as F
 from . import _shared
 from .components import components
 
-#: Counters of the table of common shingles (a power of two) and the pieces it travels in.
+#: Counters of the table of common shingles (a power of two; up to four times as many for large inputs) and the pieces it travels in.
 COUNTER_BITS, PIECES = 20, 16
-#: Bits of the table that says which documents may be wanted: of fixed size, so it fits every task.
-WANTED_BITS = 23
-BLOCK = 128
+#: The table that says which documents may be wanted has 16 bits for each, within these powers of two; beyond, the join alone sorts them out.
+WANTED_BITS = 15, 27
+#: Classes and shingles of a block; cells of a group by what its members share with the pivot.
+BLOCK, BLOCK_SHINGLES, CELLS = 128, 1 << 20, 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -91,15 +98,19 @@ def _batches(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[p
             yield part, part.column(column)
 
 
-def measured(docs: DataFrame, words: int) -> DataFrame:
+def counter_bits(splits: int) -> int:
+    return COUNTER_BITS + min(2, (splits.bit_length() - 1) // 8)
+
+
+def measured(docs: DataFrame, words: int, bits: int = COUNTER_BITS) -> DataFrame:
     """doc_id, c (class of its set), n (shingles) of every document; and, with null n, the counters' pieces of each task."""
     schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for part, texts in _batches(batches, 1):
             sets = list(shingle_sets(texts, words))
-            counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS), minlength=1 << COUNTER_BITS) if sets else 0
+            counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - bits), minlength=1 << bits) if sets else 0
             rows = [part.column(0), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
             yield pa.record_batch([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
         if counts.any():
@@ -110,7 +121,7 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
     return _shared.arrow(docs, measure, "doc_id long, c long, n int, piece int, counts binary")
 
 
-def common_ranks(pieces: DataFrame) -> np.ndarray:
+def common_ranks(pieces: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
     """For each counter a rank from 0 to 63: how full it is, in quarters of a standard deviation, in powers of two at the top.
 
     Most shingles are in one document only and fill all counters alike; one that d documents share lifts its counter by
@@ -128,7 +139,7 @@ def common_ranks(pieces: DataFrame) -> np.ndarray:
         yield pa.record_batch({"piece": pa.array(sums, pa.int32()), "counts": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
     rows = _shared.arrow(pieces.select("piece", "counts").repartition(PIECES, "piece"), add, "piece int, counts binary")
-    counts = np.zeros((PIECES, (1 << COUNTER_BITS) // PIECES))
+    counts = np.zeros((PIECES, (1 << bits) // PIECES))
     for r in rows.collect():
         counts[r.piece] += np.frombuffer(r.counts, "<i8")
     counts = counts.ravel()
@@ -139,19 +150,21 @@ def common_ranks(pieces: DataFrame) -> np.ndarray:
 
 def prefix(members: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a set, rare before common, each kind by hash: enough that linked sets share one."""
-    key = (ranks[members >> np.uint64(64 - COUNTER_BITS)].astype(np.uint64) << np.uint64(58)) | (members >> np.uint64(6))
+    key = (ranks[members >> np.uint64(65 - len(ranks).bit_length())].astype(np.uint64) << np.uint64(58)) | (members >> np.uint64(6))
     size = len(members) - least_overlap(len(members), percent) + 1
     return members[np.argsort(key, kind="stable")[:size]]  # members are in order, so equal keys fall alike in every set
 
 
 def postings(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, c, n) for each prefix shingle of each class; a class comes once from each batch that holds it."""
+    """(token, c, n) for each prefix shingle of each class; a class comes once from each task that holds it."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()  # of a task's documents, so bounded by its input
         for _, texts in _batches(batches, 0):
             seen: dict[int, tuple[int, np.ndarray]] = {}
             for s in shingle_sets(texts, words):
-                if len(s) and (c := class_id(s)) not in seen:
+                if len(s) and (c := class_id(s)) not in given:
+                    given.add(c)
                     seen[c] = len(s), prefix(s, ranks, percent)
             sizes = [len(p) for _, p in seen.values()]
             tokens = np.concatenate([p for _, p in seen.values()]) if seen else np.zeros(0, np.uint64)
@@ -199,33 +212,77 @@ def shared_postings(posted: DataFrame, percent: int) -> DataFrame:
     return _shared.arrow(rows, share, "token long, c long, n int, pivot long")
 
 
-def blocks_of(shared: DataFrame, block: int = BLOCK) -> DataFrame:
-    """c, n, block of every class in shared: groups of classes that share an eighth of what they share with one pivot, split."""
+def blocks_of(shared: DataFrame, score: Callable[[DataFrame], DataFrame], percent: int, block: int = BLOCK) -> DataFrame:
+    """c, n, g, s, cell, block of every class in shared: groups of classes that share an eighth of what they share with one pivot, cut.
+
+    score: gives c, s and whole (what two s must add up to) of the members (c, g) of groups that are too large for one block.
+    """
     with_pivot = shared.groupBy("c", "n", "pivot").agg(F.count(F.lit(1)).alias("k"))
     best = with_pivot.groupBy("c", "n").agg(F.sum("k").alias("all"), F.max(F.when(F.col("pivot") != F.col("c"), F.struct("k", "pivot"))).alias("best"))
     strong = (F.col("best.k") > 1) & (8 * F.col("best.k") >= F.col("all"))
-    grouped = best.select("c", "n", F.when(strong, F.col("best.pivot")).otherwise(F.col("c")).alias("g"))
-    parts = grouped.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    return grouped.join(parts, "g").select("c", "n", F.xxhash64("g", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("block"))
+    grouped = _shared.written(best.select("c", "n", F.when(strong, F.col("best.pivot")).otherwise(F.col("c")).alias("g")), "groups")
+    large = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block).select("g")
+    members = _shared.written(grouped.join(large, "g").select("c", "g"), "large")
+    if members.isEmpty():
+        scored = grouped.select("c", "n", "g", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("whole"))
+    else:
+        scored = grouped.join(score(members), "c", "left").select("c", "n", "g", "s", "whole")
+    # cells by s, finer where links begin to be sure: from half of what two must add up to
+    step = F.floor((2 * F.col("s") - F.col("whole")) * CELLS / F.col("whole")).cast("int")
+    celled = scored.withColumn("cell", F.xxhash64("g", F.when(F.col("s").isNotNull(), F.greatest(F.lit(-CELLS), step))))
+    parts = celled.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    return celled.join(parts, "cell").select("c", "n", "g", "s", "whole", "cell", "parts", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part"))
+
+
+def cells_of(blocks: DataFrame) -> DataFrame:
+    """A row a cell: what its members have in common."""
+    return blocks.groupBy("cell").agg(F.first("g").alias("g"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"), F.max("parts").alias("parts"), F.min("s").alias("s"), F.first("whole").alias("whole"), F.min("c").alias("least"))
+
+
+def _surely(a: str, b: str) -> F.Column:
+    return F.coalesce((F.col(f"{a}_g") == F.col(f"{b}_g")) & (F.col(f"{a}_s") + F.col(f"{b}_s") >= F.col(f"{a}_whole")), F.lit(False))
 
 
-def pairs_to_open(shared: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a <= b: the pairs of blocks that may hold linked classes, each block of two or more with itself among them.
+def _side(cells: DataFrame, x: str) -> DataFrame:
+    return cells.select(F.col("cell").alias(x), *[F.col(k).alias(f"{x}_{k}") for k in cells.columns if k != "cell"])
+
+
+def sure_links(blocks: DataFrame, cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, root, links) of the members of cells that surely link with others: root is a member that all of them are connected with.
+
+    The cell of the greatest s links surely with every cell that does with any, so its least member will do as root. A
+    group has a bounded number of cells, so their pairs are few.
+    """
+    weights = blocks.where("s is not null").join(classes, "c").groupBy("cell").agg(F.sum("weight").alias("weight"))
+    held = cells.where("s is not null").join(weights, "cell")
+    pairs = _side(held, "a").join(_side(held, "b"), F.col("a_g") == F.col("b_g")).where(_surely("a", "b"))
+    counted = pairs.groupBy("a").agg(F.sum("b_weight").alias("links"), F.max(F.when(F.col("a") == F.col("b"), F.lit(1)).otherwise(0)).alias("own"), F.max(F.struct("b_s", "b_least")).alias("top"))
+    found = blocks.join(counted.select(F.col("a").alias("cell"), "links", "own", F.col("top.b_least").alias("root")), "cell").join(classes, "c")
+    links = F.col("links") - F.col("own") * F.col("weight")
+    return found.where(links > 0).select("c", "root", links.alias("links"))
+
+
+def pairs_to_open(shared: DataFrame, blocks: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a <= b: the pairs of blocks that may hold linked classes which sure_links() does not tell of.
 
     With sizes x <= y, linked sets share at least percent / (100 + percent) * (x + y); what lies behind the prefix of the
     one whose prefix ends first is at most least_overlap - 1, so their prefixes share the rest. The bound takes the least
-    such number over all sizes in the two blocks.
+    such number over all sizes in the two cells.
     """
-    sizes = blocks.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"))
-    matrix = shared.select("token", "c").join(blocks.select("c", "block"), "c").select("token", "block").distinct()
-    other = matrix.select("token", F.col("block").alias("b"))
-    counted = matrix.withColumnRenamed("block", "a").join(other, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    left, right = (sizes.select(F.col("block").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi")) for x in "ab")
+    matrix = shared.select("token", "c").join(blocks.select("c", "cell"), "c").select("token", "cell").distinct()
+    other = matrix.select("token", F.col("cell").alias("b"))
+    counted = matrix.withColumnRenamed("cell", "a").join(other, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
     share, rest = percent / (100 + percent), percent / 100
     need = lambda x, y: F.floor(share * F.col(f"{x}_lo") - (rest - share) * F.col(f"{y}_hi") - 1e-6)
     near = (100 * F.col("a_hi") >= percent * F.col("b_lo")) & (100 * F.col("b_hi") >= percent * F.col("a_lo"))
-    opened = counted.join(left, "a").join(right, "b").where(near & (F.col("k") >= F.least(need("a", "b"), need("b", "a"))))
-    return opened.select("a", "b").union(sizes.where("members > 1").select(F.col("block").alias("a"), F.col("block").alias("b")))
+    between = counted.join(_side(cells, "a"), "a").join(_side(cells, "b"), "b").where(near & (F.col("k") >= F.least(need("a", "b"), need("b", "a"))) & ~_surely("a", "b"))
+    within = cells.where("members > 1")
+    within = within.where(~F.coalesce(2 * F.col("s") >= F.col("whole"), F.lit(False)))
+    wide = between.select("a", "b", "a_parts", "b_parts").union(within.select("cell", "cell", "parts", "parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    wide = wide.withColumn("i", each("a_parts")).withColumn("j", each("b_parts")).where("a <> b OR i <= j")
+    x, y = F.xxhash64("a", "i"), F.xxhash64("b", "j")
+    return wide.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def _compare(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -258,130 +315,196 @@ def _compare(left: list[np.ndarray], right: list[np.ndarray] | None, percent: in
     return np.triu(linked, 1) if right is None else linked
 
 
+def _sets(classes: list[int], texts: list[bytes], words: int, unzip: zstandard.ZstdDecompressor) -> dict[int, np.ndarray]:
+    """The shingle set of each class, from texts as zstd: a text of another class, which a shared doc_id may bring, counts for nothing."""
+    out: dict[int, np.ndarray] = {}
+    at = 0
+    while at < len(texts):
+        plain, size, first = [], 0, at
+        while at < len(texts) and (not plain or size < 4 << 20):
+            plain.append(unzip.decompress(texts[at]))
+            size, at = size + len(plain[-1]), at + 1
+        for c, members in zip(classes[first:at], shingle_sets(pa.array([x.decode() for x in plain], pa.string()), words), strict=True):
+            if class_id(members) == c:
+                out[c] = members
+    return out
+
+
+def pivot_overlaps(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """members: (g, part, c, text as zstd) with the pivot's own text, as c = g, in each part. (g, c, s, whole) of each, the pivot's own too.
+
+    Reads sorted rows as a stream: one pivot's set and some megabytes of members are held.
+    """
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        at, pivot = None, None
+        for b in batches:
+            g, part, c = (b.column(k).to_numpy() for k in range(3))
+            edges = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])]).tolist() if len(g) else []
+            for x, y in zip(edges, [*edges[1:], len(g)], strict=True):
+                if at != (int(g[x]), int(part[x])):
+                    at, pivot = (int(g[x]), int(part[x])), None
+                if pivot is None:  # the pivot's texts come first
+                    own = np.flatnonzero(c[x:y] == g[x]) + x
+                    pivot = _sets([at[0]] * len(own), [b.column(3)[k].as_py() for k in own.tolist()], words, unzip).get(at[0])
+                    if pivot is None:
+                        continue
+                for k in range(x, y, 64):
+                    rows = range(k, min(y, k + 64))
+                    found = _sets(c[rows.start : rows.stop].tolist(), [b.column(3)[r].as_py() for r in rows], words, unzip)
+                    s = [(100 + percent) * int(np.isin(m, pivot, assume_unique=True).sum()) - percent * len(m) for m in found.values()]
+                    yield pa.record_batch({"g": pa.array([at[0]] * len(s), pa.int64()), "c": pa.array(list(found), pa.int64()), "s": pa.array(s, pa.int64()), "whole": pa.array([(100 + percent) * len(pivot)] * len(s), pa.int64())})
+
+    rows = members.repartition("g", "part").sortWithinPartitions("g", "part", F.col("c") != F.col("g")).select("g", "part", "c", "text")
+    return _shared.arrow(rows, compare, "g long, c long, s long, whole long")
+
+
 def opened(members: DataFrame, words: int, percent: int) -> DataFrame:
     """members: (a, b, block, c, weight, text as zstd) of each pair of blocks to open. (c, root, links) of each class that links.
 
-    root: the least class of its component within the pair. links: documents linked with c through this pair.
+    root: the least class of its component within the pair. links: documents linked with c through this pair. Pairs are
+    opened one by one, and the sets of the first block stay while it does: two blocks are held unpacked at most.
     """
     names = ("c", "root", "links")
 
     def open_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        held: pa.Table | None = None
-
-        def results(rows: pa.Table) -> pa.RecordBatch:
-            # rows that share a doc_id may bring a text of another class; and a class may come more than once
-            texts = [x.as_py() for x in rows.column(5)]
-            of_class = rows.column(3).to_numpy()
-            places: dict[tuple[int, bytes], int] = {}
-            for k, key in enumerate(zip(of_class.tolist(), texts, strict=True)):
-                places.setdefault(key, k)
-            plain = pa.array([unzip.decompress(texts[k]).decode() for k in places.values()], pa.string())
-            sets: dict[int, np.ndarray] = {}
-            at_class = [x for x, _ in places]
-            for at, n in _shared.slices(plain):
-                for x, members in zip(at_class[at : at + n], shingle_sets(plain.slice(at, n), words), strict=True):
-                    if class_id(members) == x:
-                        sets[x] = members
-            a, b, block, c, weight = (rows.column(k).to_numpy() for k in range(5))
-            once = np.unique(np.stack([a, b, c]), axis=1, return_index=True)[1]
-            once = once[[x in sets for x in c[once].tolist()]]
-            a, b, block, c, weight = (x[once] for x in (a, b, block, c, weight))
-            if not len(a):
-                return pa.record_batch([pa.array([], pa.int64())] * 3, names=names)
-            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            out: list[tuple[int, int, int]] = []
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)], strict=True):
-                if a[s] == b[s]:
-                    left, right = np.arange(s, e), None
-                else:
-                    left, right = s + np.flatnonzero(block[s:e] == a[s]), s + np.flatnonzero(block[s:e] == b[s])
-                    if not len(left) or not len(right):
-                        continue
-                of = lambda part: [sets[x] for x in c[part].tolist()]
-                i, j = np.nonzero(_compare(of(left), None if right is None else of(right), percent))
-                if not len(i):
-                    continue
-                i, j = left[i], (left if right is None else right)[j]
-                root = {k: k for k in set(i.tolist()) | set(j.tolist())}
-
-                def find(k: int, root: dict[int, int] = root) -> int:
-                    while root[k] != k:
-                        root[k] = root[root[k]]
-                        k = root[k]
-                    return k
-
-                links = dict.fromkeys(root, 0)
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    links[x] += int(weight[y])
-                    links[y] += int(weight[x])
-                    rx, ry = find(x), find(y)
-                    if rx != ry:
-                        root[max(rx, ry, key=lambda k: c[k])] = min(rx, ry, key=lambda k: c[k])
-                out += [(int(c[k]), int(c[find(k)]), links[k]) for k in root]
+        kept: dict[str, object] = {"a": None, "sets": {}}
+
+        def side(rows: pa.Table, of: np.ndarray) -> tuple[list[int], list[int], list[np.ndarray]]:
+            """Class, weight and set of the rows `of`, each class once."""
+            held = rows.take(pa.array(of))
+            classes = held.column(3).to_pylist()
+            sets = _sets(classes, held.column(5).to_pylist(), words, unzip)
+            weights = dict(zip(classes, held.column(4).to_pylist(), strict=True))
+            return list(sets), [weights[c] for c in sets], list(sets.values())
+
+        def results(rows: pa.Table) -> list[tuple[int, int, int]]:
+            a, b, block = rows.column(0)[0].as_py(), rows.column(1)[0].as_py(), rows.column(2).to_numpy()
+            if kept["a"] != a:
+                kept["a"], kept["sets"] = a, side(rows, np.flatnonzero(block == a))
+            c, weight, left = kept["sets"]
+            right = None
+            if a != b:
+                more, more_weight, right = side(rows, np.flatnonzero(block == b))
+                c, weight = c + more, weight + more_weight
+            if not left or right == []:
+                return []
+            i, j = np.nonzero(_compare(left, right, percent))
+            j = j if right is None else j + len(left)
+            root = {k: k for k in set(i.tolist()) | set(j.tolist())}
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            links = dict.fromkeys(root, 0)
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                links[x] += weight[y]
+                links[y] += weight[x]
+                rx, ry = find(x), find(y)
+                if rx != ry:
+                    root[max(rx, ry, key=lambda k: c[k])] = min(rx, ry, key=lambda k: c[k])
+            return [(c[k], c[find(k)], links[k]) for k in root]
+
+        def batch(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
             return pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=names)
 
-        for batch in batches:
-            if not batch.num_rows:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            part = pa.Table.from_batches([batch])
-            part = pa.concat_tables([held, part]) if held is not None else part
-            a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
-            last = int(np.flatnonzero((a != a[-1]) | (b != b[-1])).max(initial=-1)) + 1
-            if last:
-                yield results(part.slice(0, last))
-            held = part.slice(last)
+            part = pa.Table.from_batches([b])
+            part = pa.concat_tables([held, part]).combine_chunks() if held is not None else part
+            x, y = part.column(0).to_numpy(), part.column(1).to_numpy()
+            edges = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]).tolist()
+            out = []
+            for s, e in zip(edges, edges[1:], strict=False):
+                out += results(part.slice(s, e - s))
+            if out:
+                yield batch(out)
+            held = part.slice(edges[-1])
         if held is not None and held.num_rows:
-            yield results(held)
+            yield batch(results(held))
 
     rows = members.repartition("a", "b").sortWithinPartitions("a", "b").select("a", "b", "block", "c", "weight", "text")
     return _shared.arrow(rows, open_all, "c long, root long, links long")
 
 
-def wanted_bits(ids: DataFrame) -> np.ndarray:
-    """Which residues of the hashes of ids.doc_id occur, as WANTED_BITS bits. The driver gets 4 KB for each 2**15 of them."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)) + 1  # Spark counts these bits from 1
+def wanted_bits(ids: DataFrame) -> np.ndarray | None:
+    """Which residues of the hashes of ids.doc_id occur, as bits, 16 for each id. The driver gets 4 KB for each 2**15 of them.
+
+    None where that would pass the greatest size: then most texts travel anyway, and the join sorts them out.
+    """
+    low, high = WANTED_BITS
+    power = max(low, (16 * ids.count()).bit_length())
+    if power > high:
+        return None
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << power)) + 1  # Spark counts these bits from 1
     rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros((1 << WANTED_BITS - 15, 1 << 12), np.uint8)
+    out = np.zeros((1 << power - 15, 1 << 12), np.uint8)
     for r in rows:
         out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
-def squeezed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id and text, as zstd, of those docs (doc_id, text) that bits leave in: all that are wanted, and few others while few are wanted."""
+def squeezed(docs: DataFrame, bits: np.ndarray | None) -> DataFrame:
+    """doc_id and text, as zstd, of those docs (doc_id, text) that bits leave in: all that are wanted, and few others."""
+    size = 1 if bits is None else 8 * len(bits)
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             place = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+            if bits is not None:
+                b = b.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             for at, n in _shared.slices(b.column(1)):
                 texts = [z.compress(t.as_buffer()) for t in b.column(1).slice(at, n)]
                 yield pa.record_batch({"doc_id": b.column(0).slice(at, n), "text": pa.array(texts, pa.binary())})
 
-    return _shared.arrow(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).alias("p")), squeeze, "doc_id long, text binary")
+    return _shared.arrow(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("p")), squeeze, "doc_id long, text binary")
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and n_links of every row of docs (doc_id, text)."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _shared.text_or_empty(docs).alias("text"))
-    measures = _shared.written(measured(rows, words), "measured")
+    bits = counter_bits(_shared.input_splits(rows))
+    measures = _shared.written(measured(rows, words, bits), "measured")
     sized = measures.where("n is not null").select("doc_id", "c", "n")
-    ranks = common_ranks(measures.where("n is null"))
+    ranks = common_ranks(measures.where("n is null"), bits)
     classes = sized.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"))
-
-    held = rows.where("doc_id is not null").select("text")
-    shared = _shared.written(shared_postings(postings(held, ranks, words, percent), percent), "shared")
-    blocks = _shared.written(blocks_of(shared), "blocks")
-    pairs = _shared.written(pairs_to_open(shared, blocks, percent), "pairs")
+    classes = _shared.written(classes, "classes")
+
+    held = rows.where("doc_id is not null")
+    shared = _shared.written(shared_postings(postings(held.select("text"), ranks, words, percent), percent), "shared")
+
+    def score(members: DataFrame) -> DataFrame:
+        """Members' overlaps with their pivots: each member's text travels once, a pivot's once for some of its members."""
+        parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("parts"))
+        mine = members.where("c <> g").join(parts, "g").select("g", "c", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"))
+        pivots = parts.select("g", F.col("g").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        asked = mine.unionByName(pivots).join(classes.select("c", F.col("first").alias("doc_id")), "c")
+        asked = _shared.written(asked, "asked")
+        texts = squeezed(held, wanted_bits(asked.select("doc_id").distinct()))
+        found = pivot_overlaps(asked.join(texts, "doc_id").select("g", "part", "c", "text"), words, percent)
+        # a pivot comes from each part, and may be a member of another group: each class has the s of its own
+        return _shared.written(found.distinct().join(members, ["g", "c"]).select("c", "s", "whole"), "scored")
+
+    blocks = _shared.written(blocks_of(shared, score, percent), "blocks")
+    cells = _shared.written(cells_of(blocks), "cells")
+    pairs = _shared.written(pairs_to_open(shared, blocks, cells, percent), "pairs")
 
     live = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).distinct()
-    wanted = blocks.join(live, "block").join(classes, "c").select("block", "c", "weight", F.col("first").alias("doc_id"))
+    placed = blocks.select("c", F.xxhash64("cell", F.col("part").cast("int")).alias("block"))
+    wanted = placed.join(live, "block").join(classes, "c").select("block", "c", "weight", F.col("first").alias("doc_id"))
     wanted = _shared.written(wanted, "wanted")
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).join(wanted, "block")
-    texts = squeezed(rows.where("doc_id is not null"), wanted_bits(wanted))
-    links = _shared.written(opened(sides.join(texts, "doc_id"), words, percent), "opened")
+    texts = squeezed(held, wanted_bits(wanted))
+    links = opened(sides.join(texts, "doc_id"), words, percent).union(sure_links(blocks, cells, classes))
+    links = _shared.written(links, "opened")
 
     labels = components(links.select(F.col("c").alias("a"), F.col("root").alias("b")))
     found = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -389,7 +512,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) ->
     least = _shared.written(found.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     counted = links.groupBy("c").agg(F.sum("links").alias("links"))
     by_class = found.join(least, "label").join(counted, "c", "left").select("c", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    by_class = _shared.written(by_class, "classes")
+    by_class = _shared.written(by_class, "by_class")
     alone = F.col("doc_id").isNotNull()
     return sized.join(by_class, "c", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(alone, F.coalesce("n_links", F.lit(0))).alias("n_links"),
