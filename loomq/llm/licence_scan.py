@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,12 +55,15 @@ def statement(word: str, other: str) -> str:
 
 _STATEMENT, _STATEMENT_RE = statement(r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\n]"), re.compile(statement(r"[^\W_]", r"(?:_|[^\w\n])"))
 #: Only texts that hold one of these go through the replacement of spellings, which leaves all others as they are.
-_ANY_SPELLING = "|".join(old for old, _ in SPELLINGS)
+_ANY_SPELLING = f"(?:^| )(?:{'|'.join(old for old, _ in SPELLINGS)})(?: |$)"
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, words joined by one space, one spelling each; null is empty."""
-    x = F.lower(F.coalesce(text, F.lit("")))
+    return canonical_of_lower(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def canonical_of_lower(x: Column) -> Column:
     x = F.when(F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("all rights reserved")), F.regexp_replace(x, _STATEMENT, "")).otherwise(x)
     return F.trim(F.regexp_replace(x, BETWEEN_WORDS, " "))
 
@@ -184,10 +188,11 @@ def scan(docs: DataFrame, known: Mapping[str, str | tuple[str, ...]] = KNOWN, *,
     BROADCAST_MOST digests, and joined as Spark will beyond. With lines, `notices` lists what runs of lines are, sorted, each once.
     """
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
+    text = docs["text"].cast("string")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
     runs = Runs(known)
     found = spark.createDataFrame(list(runs.names.items()), "digest string, licence string")
-    digest = F.sha2(one_spelling(canonical(F.col("text"))), 256)
+    digest = F.sha2(one_spelling(canonical_of_lower(F.col("low"))), 256)
     if lines and runs.names:
         schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("notices", pa.list_(pa.string()))])
 
@@ -197,8 +202,7 @@ def scan(docs: DataFrame, known: Mapping[str, str | tuple[str, ...]] = KNOWN, *,
                     part = b.slice(at, n)
                     yield pa.record_batch([part.column(0), part.column(1), pa.array([runs.found(t) for t in part.column(2).to_pylist()], pa.list_(pa.string()))], schema=schema)
 
-        held = F.exists(F.array(*map(F.lit, runs.anchors)), lambda a: F.contains("low", a))
-        rows = rows.select("doc_id", "text", F.lower("text").alias("low"))
+        held = reduce(Column.__or__, [F.contains("low", F.lit(a)) for a in runs.anchors])
         worth = F.when(held, F.col("text"))  # only these texts leave the JVM
         out = _shared.arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), worth.alias("text")), look, "doc_id long, digest string, notices array<string>")
     else:
