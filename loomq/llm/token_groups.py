@@ -9,7 +9,8 @@ result is exact, up to equal 64-bit hashes of different shingles.
    a prefix shingle. Equal sets are one class from here on.
 3. Prefix shingles that only one class has are dropped. A class that has an eighth of the others in common with one pivot, the
    first class of about its size that has them, joins that pivot's group.
-4. In a group too large for one block, every class is compared with the pivot P first. With k(A) = |A and P| the overlap of two
+4. In a group too large for one block, every class is compared with a new pivot P first: the shingles that most of some of
+   its members have. They are a bounded number, of the least hashes; the result does not depend on P, only the work does. With k(A) = |A and P| the overlap of two
    members is at least k(A) + k(B) - |P|, so A and B surely link if s(A) + s(B) >= (100 + percent) * |P|, where s(A) =
    (100 + percent) * k(A) - percent * |A|. The group is cut into cells by s. Pairs of cells that surely link are counted by their
    weights and never opened: a family of close copies costs its size, not its square.
@@ -48,6 +49,8 @@ COUNTER_BITS, PIECES = 20, 16
 WANTED_BITS = 15, 27
 #: Classes and shingles of a block; cells of a group by what its members share with the pivot.
 BLOCK, BLOCK_SHINGLES, CELLS = 128, 1 << 20, 64
+#: Members of a group, about, whose common shingles make its pivot.
+SAMPLE = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -330,8 +333,33 @@ def _sets(classes: list[int], texts: list[bytes], words: int, unzip: zstandard.Z
     return out
 
 
+def centres(members: DataFrame, words: int) -> DataFrame:
+    """members: (g, c, text as zstd), a bounded number of each group. (g, centre): the shingles that more than half of them have."""
+
+    def centre(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        at, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            return pa.record_batch({"g": pa.array([at], pa.int64()), "centre": pa.array([squeeze.compress(tokens[2 * counts > len(held)].tobytes())], pa.binary())})
+
+        for b in batches:
+            for g, c, text in zip(*(b.column(k) for k in range(3)), strict=True):
+                if g.as_py() != at:
+                    if held:
+                        yield done()
+                    at, held = g.as_py(), {}
+                held |= _sets([c.as_py()], [text.as_py()], words, unzip)
+        if held:
+            yield done()
+
+    rows = members.repartition("g").sortWithinPartitions("g").select("g", "c", "text")
+    return _shared.arrow(rows, centre, "g long, centre binary")
+
+
 def pivot_overlaps(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """members: (g, part, c, text as zstd) with the pivot's own text, as c = g, in each part. (g, c, s, whole) of each, the pivot's own too.
+    """members: (g, part, c, text as zstd), and in each part, without c, the pivot's shingles as zstd. (c, s, whole) of each member.
 
     Reads sorted rows as a stream: one pivot's set and some megabytes of members are held.
     """
@@ -340,24 +368,21 @@ def pivot_overlaps(members: DataFrame, words: int, percent: int) -> DataFrame:
         unzip = zstandard.ZstdDecompressor()
         at, pivot = None, None
         for b in batches:
-            g, part, c = (b.column(k).to_numpy() for k in range(3))
+            g, part = (b.column(k).to_numpy() for k in range(2))
             edges = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])]).tolist() if len(g) else []
             for x, y in zip(edges, [*edges[1:], len(g)], strict=True):
-                if at != (int(g[x]), int(part[x])):
-                    at, pivot = (int(g[x]), int(part[x])), None
-                if pivot is None:  # the pivot's texts come first
-                    own = np.flatnonzero(c[x:y] == g[x]) + x
-                    pivot = _sets([at[0]] * len(own), [b.column(3)[k].as_py() for k in own.tolist()], words, unzip).get(at[0])
-                    if pivot is None:
-                        continue
-                for k in range(x, y, 64):
+                if at != (at := (int(g[x]), int(part[x]))):
+                    pivot = None
+                if not b.column(2)[x].is_valid:
+                    pivot, x = np.frombuffer(unzip.decompress(b.column(3)[x].as_py()), np.uint64), x + 1
+                for k in range(x, y if pivot is not None else x, 64):
                     rows = range(k, min(y, k + 64))
-                    found = _sets(c[rows.start : rows.stop].tolist(), [b.column(3)[r].as_py() for r in rows], words, unzip)
+                    found = _sets([b.column(2)[r].as_py() for r in rows], [b.column(3)[r].as_py() for r in rows], words, unzip)
                     s = [(100 + percent) * int(np.isin(m, pivot, assume_unique=True).sum()) - percent * len(m) for m in found.values()]
-                    yield pa.record_batch({"g": pa.array([at[0]] * len(s), pa.int64()), "c": pa.array(list(found), pa.int64()), "s": pa.array(s, pa.int64()), "whole": pa.array([(100 + percent) * len(pivot)] * len(s), pa.int64())})
+                    yield pa.record_batch({"c": pa.array(list(found), pa.int64()), "s": pa.array(s, pa.int64()), "whole": pa.array([(100 + percent) * len(pivot)] * len(s), pa.int64())})
 
-    rows = members.repartition("g", "part").sortWithinPartitions("g", "part", F.col("c") != F.col("g")).select("g", "part", "c", "text")
-    return _shared.arrow(rows, compare, "g long, c long, s long, whole long")
+    rows = members.repartition("g", "part").sortWithinPartitions("g", "part", F.col("c").isNotNull()).select("g", "part", "c", "text")
+    return _shared.arrow(rows, compare, "c long, s long, whole long").distinct()
 
 
 def opened(members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -482,16 +507,16 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) ->
     shared = _shared.written(shared_postings(postings(held.select("text"), ranks, words, percent), percent), "shared")
 
     def score(members: DataFrame) -> DataFrame:
-        """Members' overlaps with their pivots: each member's text travels once, a pivot's once for some of its members."""
-        parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("parts"))
-        mine = members.where("c <> g").join(parts, "g").select("g", "c", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"))
-        pivots = parts.select("g", F.col("g").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        asked = mine.unionByName(pivots).join(classes.select("c", F.col("first").alias("doc_id")), "c")
-        asked = _shared.written(asked, "asked")
-        texts = squeezed(held, wanted_bits(asked.select("doc_id").distinct()))
-        found = pivot_overlaps(asked.join(texts, "doc_id").select("g", "part", "c", "text"), words, percent)
-        # a pivot comes from each part, and may be a member of another group: each class has the s of its own
-        return _shared.written(found.distinct().join(members, ["g", "c"]).select("c", "s", "whole"), "scored")
+        """Members' overlaps with their pivots: each member's text travels once, some of a group's twice, a pivot once for each 1024 members."""
+        parts = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+        dealt = members.join(parts, "g").select("g", "c", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / 1024)).cast("int").alias("part"), (F.pmod(F.xxhash64("c", "g"), F.ceil(F.col("size") / SAMPLE)) == 0).alias("sampled"))
+        asked = _shared.written(dealt.join(classes.select("c", F.col("first").alias("doc_id")), "c"), "asked")
+        texts = squeezed(held, wanted_bits(asked))
+        mine = _shared.written(asked.join(texts, "doc_id").select("g", "part", "c", "sampled", "text"), "members")
+        pivots = _shared.written(centres(mine.where("sampled").select("g", "c", "text"), words), "pivots")
+        dealt = pivots.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / 1024).cast("int") - 1)).alias("part"), F.lit(None).cast("long").alias("c"), F.col("centre").alias("text"))
+        found = pivot_overlaps(mine.select("g", "part", "c", "text").union(dealt), words, percent)
+        return _shared.written(found, "scored")
 
     blocks = _shared.written(blocks_of(shared, score, percent), "blocks")
     cells = _shared.written(cells_of(blocks), "cells")

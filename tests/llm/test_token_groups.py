@@ -99,3 +99,17 @@ def test_components(spark):
 
 def test_schema_is_that_of_documents(spark):
     assert g.one_of_each(spark.createDataFrame([(1, "a b", "en", "s")], SCHEMA)).collect()[0].asDict() == {"doc_id": 1, "text": "a b", "lang": "en", "source": "s"}
+
+
+def test_a_family_of_close_copies_is_not_opened_pair_by_pair(spark, monkeypatch):
+    """500 copies with up to three changed words, and some looser ones: links are exact, though few pairs of blocks are opened."""
+    monkeypatch.setattr(g.blocks_of, "__defaults__", (8,))
+    rng = random.Random(6)
+    texts = family(rng, 500, 3, 200) + family(rng, 60, 9, 150)
+    rows = list(enumerate(texts))
+    seen = []
+    pairs_to_open = g.pairs_to_open
+    monkeypatch.setattr(g, "pairs_to_open", lambda *a: seen.append(pairs_to_open(*a).distinct()) or seen[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in g.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == plain(rows, 5, 75)
+    assert seen[0].count() < 0.25 * (560 / 8) ** 2 / 2
