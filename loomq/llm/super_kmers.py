@@ -13,8 +13,10 @@ windows of a document that share their minimiser make a super-k-mer.
 3. A minimiser with more than `most` super-k-mers gets no bucket of its own: its windows travel one by one as keys of an
    aggregation that combines before the shuffle, and the least doc_ids are joined back. The result is the same.
 
-Defined cases: null text has no words. Rows that share a doc_id are documents of their own, and never remove words from
-each other. Rows without a doc_id are left as they are and remove nothing.
+Defined cases: null and empty texts have no words. Rows that share a doc_id are documents of their own, and never remove words
+from each other; repeated rows are such rows. Rows without a doc_id are left as they are and remove nothing. A text counts whole,
+however long; its super-k-mers are cut at LONGEST windows, and texts are taken in runs of bounded size, one at least. An empty
+table gives no rows. Columns but doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
