@@ -9,6 +9,7 @@ import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from .answers import REFUSED
 from .server import PORT, receive, send
 
 
@@ -26,7 +27,7 @@ class Client:
             raise
         if not answer.get("ok"):
             self._drop()
-            raise ConnectionError(answer.get("message", "Authentication failed"))
+            raise ConnectionError(answer.get("message", REFUSED))
 
     def _drop(self) -> None:
         if self._sock:
@@ -44,7 +45,7 @@ class Client:
     def parts(self, sql: str) -> Iterator[dict]:
         """The result part by part, so that one of any size passes; to be taken to its end."""
         if self._sock is None:
-            raise ConnectionError("Client is closed")
+            raise ConnectionError("this client was closed before")
         try:
             send(self._sock, sql)
             more = True
@@ -90,7 +91,7 @@ class ConnectionPool:
 
     def acquire(self) -> Client:
         if self._closed:
-            raise RuntimeError("Connection pool is closed")
+            raise RuntimeError("the pool takes no more work: it was closed")
         if not self._slots.acquire(timeout=self._wait):
             raise TimeoutError(f"no connection became free in {self._wait} s")
         try:

@@ -15,6 +15,7 @@ import socketserver
 import struct
 import threading
 
+from . import answers as A
 from .session import Engine
 
 #: Fixed values of the wire format.
@@ -27,7 +28,7 @@ PART = 4 << 20
 def send(sock: socket.socket, text: str) -> None:
     data = text.encode()
     if len(data) > MOST:
-        raise ValueError(f"Message too large: {len(data)} bytes")
+        raise ValueError(A.TOO_LARGE.format(f"{len(data)} bytes"))
     sock.sendall(LENGTH.pack(len(data)) + data)
 
 
@@ -45,7 +46,7 @@ def _exactly(sock: socket.socket, n: int) -> bytes:
 def receive(sock: socket.socket) -> str:
     (n,) = LENGTH.unpack(_exactly(sock, LENGTH.size))
     if n > MOST:
-        raise ValueError(f"Message too large: {n} bytes")
+        raise ValueError(A.TOO_LARGE.format(f"{n} bytes"))
     return _exactly(sock, n).decode()
 
 
@@ -60,7 +61,7 @@ class _Connection(socketserver.BaseRequestHandler):
             while True:
                 sql, first = (first if first is not None and not self._greets(first) else receive(self.request)).strip(), None
                 if sql.lower() == ".quit":
-                    return self._reply({"columns": [], "rows": [], "message": "Goodbye"})
+                    return self._reply({"columns": [], "rows": [], "message": A.GOODBYE})
                 if not sql:
                     self._reply({"columns": [], "rows": [], "message": ""})
                     continue
@@ -102,10 +103,10 @@ class _Connection(socketserver.BaseRequestHandler):
             if not isinstance(user, str) or not isinstance(password, str):
                 raise TypeError
         except (KeyError, TypeError):
-            self._reply({"ok": False, "message": "Expected auth message"})
+            self._reply({"ok": False, "message": A.EXPECTED_AUTH})
             return False
         ok = engine.users.accepts(user, password)
-        self._reply({"ok": ok, "message": f"Authenticated as '{user}'" if ok else "Authentication failed"})
+        self._reply({"ok": ok, "message": A.AUTHENTICATED.format(user) if ok else A.REFUSED})
         return ok
 
 

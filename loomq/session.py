@@ -26,6 +26,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import answers as A
 from .auth import Users
 from .errors import ExecutionError, LoomError
 from .functions.expressions import kind_of
@@ -108,7 +109,7 @@ class Engine:
         """Writes a table's files anew, by ranges of its first index's columns: fewer files, and bounds that tell them apart."""
         mine = self.mine
         if mine.open:
-            raise ExecutionError("A transaction is already in progress")
+            raise ExecutionError(A.IN_PROGRESS)
         try:
             mine.staged[table.lower()] = mine.store.compacted(mine._stage(table))
             mine.commit()
@@ -193,7 +194,7 @@ class Session:
             return self.store.frame(m, self.store.pruned(m, limits or []))
         if key in self.engine.views:
             return self.engine.view(key)
-        raise LoomError(f"Table '{name}' does not exist")
+        raise LoomError(A.TABLE_MISSING.format(name))
 
     def facts(self, name: str) -> Facts:
         key = name.lower()
@@ -207,9 +208,9 @@ class Session:
 
     def begin(self) -> str:
         if self.open:
-            raise ExecutionError("A transaction is already in progress")
+            raise ExecutionError(A.IN_PROGRESS)
         self.open = True
-        return f"BEGIN (txn {self.engine.next_transaction()})"
+        return A.BEGUN.format(self.engine.next_transaction())
 
     def commit(self) -> None:
         try:
@@ -292,13 +293,13 @@ class Session:
             raise
         if not self.open:
             self.commit()
-        return f"{n} row(s) {done}"
+        return A.CHANGED.format(n, done)
 
     def new_table(self, name: str) -> Store:
         """The store, if name is free in it."""
         self.store.refresh()
         if name.lower() in self.store.paths or name.lower() in self.engine.views:
-            raise LoomError(f"Table '{name}' already exists")
+            raise LoomError(A.TABLE_EXISTS.format(name))
         return self.store
 
     def _define(self, stmt: T.CreateTable | T.DropTable | T.CreateIndex) -> str:
@@ -306,7 +307,7 @@ class Session:
         key, store = stmt.table.lower(), self.store
         if isinstance(stmt, T.CreateTable):
             self.new_table(stmt.table).commit({key: define.create_table(stmt)}, {})
-            return f"Table '{stmt.table}' created"
+            return A.TABLE_CREATED.format(stmt.table)
         store.refresh()
         m = store.get(stmt.table)
         if isinstance(stmt, T.DropTable):
@@ -315,15 +316,15 @@ class Session:
             self.staged.pop(key, None)
             if not self.open:
                 self._end()
-            return f"Table '{stmt.table}' dropped"
+            return A.TABLE_DROPPED.format(stmt.table)
         taken = {i.name.lower() for p in store.paths.values() for i in store.manifest(p).indexes}
         if stmt.name.lower() in taken:
-            raise LoomError(f"Index '{stmt.name}' already exists")
+            raise LoomError(A.INDEX_EXISTS.format(stmt.name))
         if key in self.staged:
             self.staged[key] = define.create_index(stmt, self.staged[key], store)
         else:
             store.commit({key: define.create_index(stmt, m, store)}, {key: store.paths[key]})
-        return f"Index '{stmt.name}' created on {stmt.table}({', '.join(stmt.columns)})"
+        return A.INDEX_CREATED.format(stmt.name, stmt.table, ", ".join(stmt.columns))
 
     def _analyze(self, table: str) -> str:
         rows, distinct = define.measure(self.read(table))
@@ -357,7 +358,7 @@ class Session:
                         rows, size = [], 0
                     rows.append(row)
                     size, n = size + length, n + 1
-                yield {"columns": df.columns, "rows": rows, "message": f"{n} row(s)"}
+                yield {"columns": df.columns, "rows": rows, "message": A.SELECTED.format(n)}
             elif isinstance(stmt, T.Explain):
                 yield {"columns": ["plan"], "rows": [[self.explain(stmt.of)]], "message": "EXPLAIN"}
             else:
@@ -372,5 +373,5 @@ class Session:
         """The whole result as a dict, if it is of most_bytes at most; else an error that says so: sql() has no such bound."""
         found = list(islice(self.parts(sql, most_bytes), 2))
         if len(found) > 1:
-            return {"columns": [], "rows": [], "message": f"Error: Message too large: more than {most_bytes} bytes; use a DataFrame, or LIMIT"}
+            return {"columns": [], "rows": [], "message": f"Error: {A.TOO_LARGE.format(f'more than {most_bytes} bytes; use a DataFrame, or LIMIT')}"}
         return found[0]

@@ -34,12 +34,12 @@ def test_users(engine, spark, tmp_path):
 
 def test_client_and_server(server):
     with Client(port=server.port, username="bob", password="pw") as db:
-        db.execute("CREATE TABLE products (id INTEGER PRIMARY KEY, name TEXT, price FLOAT)")
-        db.execute("INSERT INTO products (name, price) VALUES ('Widget', 9.99)")
-        assert db.execute("SELECT * FROM products")["rows"] == [[1, "Widget", 9.99]]
+        db.execute("CREATE TABLE boats (id INTEGER PRIMARY KEY, berth TEXT, length FLOAT)")
+        db.execute("INSERT INTO boats (berth, length) VALUES ('north 4', 7.25)")
+        assert db.execute("SELECT * FROM boats")["rows"] == [[1, "north 4", 7.25]]
         assert db.execute("   ") == {"columns": [], "rows": [], "message": ""}
         assert db.execute("SELECT x")["message"].startswith("Plan error")
-    with pytest.raises(ConnectionError, match="Client is closed"):
+    with pytest.raises(ConnectionError, match="was closed"):
         db.execute("SELECT 1")
     with pytest.raises(ConnectionError, match="Authentication failed"):
         Client(port=server.port, username="bob", password="no")
@@ -61,17 +61,17 @@ def test_a_lost_connection_is_rolled_back(server, engine):
 def test_pool_and_crud_scenario(server):
     pool = ConnectionPool(port=server.port, min_size=1, max_size=2, wait=0.3, username="bob", password="pw")
     with pool.connection() as db:
-        assert "created" in db.execute("CREATE TABLE todos (id INTEGER PRIMARY KEY, title TEXT NOT NULL, description TEXT, completed BOOLEAN NOT NULL)")["message"]
+        assert "created" in db.execute("CREATE TABLE loans (id INTEGER PRIMARY KEY, reader TEXT NOT NULL, note TEXT, back BOOLEAN NOT NULL)")["message"]
     with pool.connection() as db:
-        assert "already exists" in db.execute("CREATE TABLE todos (id INTEGER PRIMARY KEY)")["message"]
+        assert "already exists" in db.execute("CREATE TABLE loans (id INTEGER PRIMARY KEY)")["message"]
         db.execute("BEGIN")
-        db.execute("INSERT INTO todos (title, completed) VALUES ('it''s', FALSE)")
-        (new,) = db.execute("SELECT id FROM todos ORDER BY id DESC LIMIT 1")["rows"]
+        db.execute("INSERT INTO loans (reader, back) VALUES ('O''Hara', FALSE)")
+        (new,) = db.execute("SELECT id FROM loans ORDER BY id DESC LIMIT 1")["rows"]
         db.execute("COMMIT")
     with pool.connection() as db:
-        db.execute(f"UPDATE todos SET completed = TRUE, description = 'd' WHERE id = {new[0]}")
-        assert db.execute("SELECT * FROM todos")["rows"] == [[1, "it's", "d", True]]
-        assert db.execute("DELETE FROM todos WHERE id = 1")["message"] == "1 row(s) deleted"
+        db.execute(f"UPDATE loans SET back = TRUE, note = 'd' WHERE id = {new[0]}")
+        assert db.execute("SELECT * FROM loans")["rows"] == [[1, "O'Hara", "d", True]]
+        assert db.execute("DELETE FROM loans WHERE id = 1")["message"] == "1 row(s) deleted"
     with pool.connection(), pool.connection():
         with pytest.raises(TimeoutError):
             pool.acquire()
