@@ -1,7 +1,8 @@
 """Times the headline queries of the dialect over $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query is run once to warm up and then three times; the median counts. Results are written to the noop sink, so
-that every row is made and none is collected.
+that every row is made and none is collected. One engine serves all runs over a folder, so footers are read in the warm-up run;
+dml_* copy a table into a fresh store each time, and that copy is in their figure.
 """
 
 from __future__ import annotations
