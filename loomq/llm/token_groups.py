@@ -49,8 +49,8 @@ COUNTER_BITS, PIECES = 20, 16
 WANTED_BITS = 15, 27
 #: Classes and shingles of a block; cells of a group by what its members share with the pivot.
 BLOCK, BLOCK_SHINGLES, CELLS = 128, 1 << 20, 64
-#: Members of a group, about, whose common shingles make its pivot.
-SAMPLE = 64
+#: Members of a group, about, whose common shingles make its pivot: fewer where they are long.
+SAMPLE, LEAST_SAMPLE = 64, 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -218,14 +218,14 @@ def shared_postings(posted: DataFrame, percent: int) -> DataFrame:
 def blocks_of(shared: DataFrame, score: Callable[[DataFrame], DataFrame], percent: int, block: int = BLOCK) -> DataFrame:
     """c, n, g, s, cell, block of every class in shared: groups of classes that share an eighth of what they share with one pivot, cut.
 
-    score: gives c, s and whole (what two s must add up to) of the members (c, g) of groups that are too large for one block.
+    score: gives c, s and whole (what two s must add up to) of the members (c, n, g) of groups that are too large for one block.
     """
     with_pivot = shared.groupBy("c", "n", "pivot").agg(F.count(F.lit(1)).alias("k"))
     best = with_pivot.groupBy("c", "n").agg(F.sum("k").alias("all"), F.max(F.when(F.col("pivot") != F.col("c"), F.struct("k", "pivot"))).alias("best"))
     strong = (F.col("best.k") > 1) & (8 * F.col("best.k") >= F.col("all"))
     grouped = _shared.written(best.select("c", "n", F.when(strong, F.col("best.pivot")).otherwise(F.col("c")).alias("g")), "groups")
     large = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block).select("g")
-    members = _shared.written(grouped.join(large, "g").select("c", "g"), "large")
+    members = _shared.written(grouped.join(large, "g").select("c", "n", "g"), "large")
     if members.isEmpty():
         scored = grouped.select("c", "n", "g", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("whole"))
     else:
@@ -375,8 +375,10 @@ def pivot_overlaps(members: DataFrame, words: int, percent: int) -> DataFrame:
                     pivot = None
                 if not b.column(2)[x].is_valid:
                     pivot, x = np.frombuffer(unzip.decompress(b.column(3)[x].as_py()), np.uint64), x + 1
-                for k in range(x, y if pivot is not None else x, 64):
-                    rows = range(k, min(y, k + 64))
+                if pivot is None or not len(pivot):  # the group has no such shingles: none of its links is sure
+                    continue
+                for k, n in _shared.slices(b.column(3).slice(x, y - x), 1 << 20):  # packed bytes
+                    rows = range(x + k, x + k + n)
                     found = _sets([b.column(2)[r].as_py() for r in rows], [b.column(3)[r].as_py() for r in rows], words, unzip)
                     s = [(100 + percent) * int(np.isin(m, pivot, assume_unique=True).sum()) - percent * len(m) for m in found.values()]
                     yield pa.record_batch({"c": pa.array(list(found), pa.int64()), "s": pa.array(s, pa.int64()), "whole": pa.array([(100 + percent) * len(pivot)] * len(s), pa.int64())})
@@ -508,8 +510,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 75) ->
 
     def score(members: DataFrame) -> DataFrame:
         """Members' overlaps with their pivots: each member's text travels once, some of a group's twice, a pivot once for each 1024 members."""
-        parts = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-        dealt = members.join(parts, "g").select("g", "c", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / 1024)).cast("int").alias("part"), (F.pmod(F.xxhash64("c", "g"), F.ceil(F.col("size") / SAMPLE)) == 0).alias("sampled"))
+        parts = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+        sample = F.greatest(F.lit(LEAST_SAMPLE), F.least(F.lit(SAMPLE), F.floor(4 * BLOCK_SHINGLES * F.col("size") / F.col("total"))))  # fewer of long texts
+        sampled = F.pmod(F.xxhash64("c", "g"), F.ceil(F.col("size") / sample)) == 0
+        dealt = members.join(parts, "g").select("g", "c", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / 1024)).cast("int").alias("part"), sampled.alias("sampled"))
         asked = _shared.written(dealt.join(classes.select("c", F.col("first").alias("doc_id")), "c"), "asked")
         texts = squeezed(held, wanted_bits(asked))
         mine = _shared.written(asked.join(texts, "doc_id").select("g", "part", "c", "sampled", "text"), "members")
