@@ -185,27 +185,28 @@ class WordTokens:
     an ASCII letter or digit is encoded as its stem and that end: normalisation leaves such a letter and what follows it
     apart, and no pre-token goes on over the place. All other words are encoded whole, as a letter like the dotted capital I
     may become one that ends in a mark, which would join the full stop.
-    The store is emptied at `most` strings or most_bytes of them, so its memory is bounded; the ids do not depend on it.
+    The store is emptied at `most` strings or most_bytes of them, but for words found again, so its memory is bounded; the
+    ids do not depend on it.
     """
 
     #: Between the words of one call; a word that holds it goes alone.
     BETWEEN = "<|endoftext|>"
 
-    def __init__(self, path: str, most: int = 1_000_000, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, most: int = 400_000, most_bytes: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.store = Tokenizer.from_file(path), IdStore(most, most_bytes)
+        self.tokenizer, self.store = Tokenizer.from_file(path), IdStore(most, most_bytes, keep_found=True)
         self.between, self.by_words = self.tokenizer.token_to_id(self.BETWEEN), by_words(self.tokenizer)
 
-    def _learn(self, words: list[str], at_once: int = 256) -> None:
+    def _learn(self, words: list[str], at_once: int = 256, joins: int = 16) -> None:
         plain = [w for w in words if w and self.BETWEEN not in w]
-        joined = [self.BETWEEN.join(plain[k : k + at_once]) for k in range(0, len(plain), at_once)]
-        coded = [np.array([*x.ids, self.between], np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        if coded:
-            flat = np.concatenate(coded)
+        for at in range(0, len(plain), joins * at_once):  # the library's encodings take far more than their ids, so few are held
+            part = plain[at : at + joins * at_once]
+            joined = [self.BETWEEN.join(part[k : k + at_once]) for k in range(0, len(part), at_once)]
+            flat = np.concatenate([np.array([*x.ids, self.between], np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
             stop = flat == self.between
-            self.store.keep(plain, np.diff(np.flatnonzero(stop), prepend=-1) - 1, flat[~stop])
+            self.store.keep(part, np.diff(np.flatnonzero(stop), prepend=-1) - 1, flat[~stop])
         if odd := [w for w in words if not w or self.BETWEEN in w]:
             coded = [x.ids for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
             self.store.keep(odd, np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.uint32))
@@ -225,10 +226,12 @@ class WordTokens:
         stems = pc.utf8_rtrim(words, characters=".,")
         stems = pc.if_else(pc.match_substring_regex(stems, "[A-Za-z0-9]$"), stems, words)
         cut = pc.subtract(pc.utf8_length(words), pc.utf8_length(stems)).to_numpy(zero_copy_only=False)
-        ends = [""] * len(words)
-        for k in np.flatnonzero(cut).tolist():
-            ends[k] = words[k].as_py()[-int(cut[k]) :]
-        self.store.make_room(2 * len(words))
+        ends = np.full(len(words), "", object)
+        for n in np.unique(cut[cut > 0]).tolist():
+            at = np.flatnonzero(cut == n)
+            ends[at] = pc.utf8_slice_codeunits(words.take(pa.array(at)), -n).to_pylist()
+        ends = ends.tolist()
+        self.store.make_room(len(words) + len(set(ends)))
         pairs = np.stack([self.store.places(x.dictionary_encode(), self._learn) for x in (stems, pa.array(ends, pa.string()))], axis=1)
         lengths, word_ids = self.store.gather(pairs.ravel())
         word_lengths = lengths.reshape(-1, 2).sum(axis=1)
@@ -254,6 +257,30 @@ def word_tokens(path: str) -> WordTokens:
     return _tokens[path]
 
 
+#: Bytes of text that a worker encodes at once: what is held beside the store grows with it.
+RUN_BYTES = 2 << 20
+
+
+def shard_records(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int | None, bits: int) -> Iterator[pa.RecordBatch]:
+    """The records of one shard from batches of doc_id and text, in order."""
+    words, shard = word_tokens(tokenizer), None
+    batch = lambda records: pa.record_batch({"record": pa.array(records, pa.binary())})
+    for b in batches:
+        texts = b.column(1)
+        for at, n in _shared.slices(texts, RUN_BYTES):
+            if shard is None:
+                shard = ShardWriter(bits)
+                yield batch([shard.header()])
+            counts, ids = words.encode(texts.slice(at, n), end_id)
+            keys = b.column(0).slice(at, n)
+            records = list(shard.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), counts, ids))
+            if records:
+                yield batch(records)
+        del b, texts, keys  # else it stays while the next one is read
+    if shard is not None:
+        yield batch(list(shard.close()))
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int | None = 1, bits: int = 1, shards: int | None = None) -> None:
     """Encodes docs (doc_id, text) and writes them in ascending doc_id order, one shard a partition, into folder.
 
@@ -262,33 +289,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int |
     shards: by default as many as the input has splits, so a shard holds about one split's bytes.
     """
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = word_tokens(tokenizer), None
-        batch = lambda records: pa.record_batch({"record": pa.array(records, pa.binary())})
-        for b in batches:
-            texts = b.column(1)
-            for at, n in _shared.slices(texts):
-                if shard is None:
-                    shard = ShardWriter(bits)
-                    yield batch([shard.header()])
-                counts, ids = words.encode(texts.slice(at, n), end_id)
-                keys = b.column(0).slice(at, n)
-                records = list(shard.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), counts, ids))
-                if records:
-                    yield batch(records)
-        if shard is not None:
-            yield batch(list(shard.close()))
-
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _shared.text_or_empty(docs).alias("text"))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(shards or _shared.input_splits(rows), "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    records = _shared.arrow(rows, encode, "record binary")
+    records = _shared.arrow(rows, lambda batches: shard_records(batches, tokenizer, end_id, bits), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", TERMINATOR.decode()).option("compression", "none").text(folder)
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads every shard of folder: shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids array<int>."""
-    types = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def read_shards(spark: SparkSession, folder: str, *, with_ids: bool = True) -> DataFrame:
+    """Reads every shard of folder: shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long, and ids array<int> unless with_ids is off."""
+    types = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))][: 5 + with_ids])
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,12 +319,14 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                         here, ids = ids[: ends[-1]], ids[ends[-1] :]
                         raw = memoryview(here.astype("<u4").tobytes())
                         crcs = [zlib.crc32(raw[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(here.view(np.int32)))
-                        yield pa.record_batch([pa.array(np.full(len(n), number), pa.int32()), pa.array(doc_ids[k : k + 2048], mask=nulls[k : k + 2048]), pa.array(start + ends - n), pa.array(n), pa.array(crcs, pa.int64()), lists], schema=types)
+                        columns = [pa.array(np.full(len(n), number), pa.int32()), pa.array(doc_ids[k : k + 2048], mask=nulls[k : k + 2048]), pa.array(start + ends - n), pa.array(n), pa.array(crcs, pa.int64())]
+                        if with_ids:
+                            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(here.view(np.int32))))
+                        yield pa.record_batch(columns, schema=types)
                         start += int(ends[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    return _shared.arrow(files, decode, "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return _shared.arrow(files, decode, "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_index(docs: DataFrame, tokenizer: str, *, end_id: int | None = 1, bits: int = 1) -> DataFrame:
@@ -328,7 +340,7 @@ def token_index(docs: DataFrame, tokenizer: str, *, end_id: int | None = 1, bits
     spark = docs.sparkSession
     folder = f"{_shared.shared_folder(spark)}/planes"
     write_shards(docs, folder, tokenizer, end_id=end_id, bits=bits)
-    digests = _shared.written(read_shards(spark, folder).drop("ids"), "digests")
+    digests = _shared.written(read_shards(spark, folder, with_ids=False), "digests")
     totals = digests.groupBy("shard").agg(F.sum("n_tokens").alias("shard_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard, not a document
     offsets = totals.select("shard", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("shard_start"))

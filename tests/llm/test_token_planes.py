@@ -1,4 +1,7 @@
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -107,3 +110,61 @@ def test_a_very_long_text_and_a_store_bounded_by_bytes():
     assert counts.tolist() == [len(ids)] and ids.tolist() == t.encode(text, add_special_tokens=False).ids
     held.encode(pa.array(["next"]), None)
     assert len(held.store.place) < 5  # emptied, as it had passed its bytes
+
+
+def test_words_found_again_outlive_the_others():
+    held, learned = tp.WordTokens(PATH, most=2000), []
+    learn, common = held._learn, [f"common{k}" for k in range(300)]
+    held._learn = lambda words: (learned.extend(words), learn(words))
+    t = Tokenizer.from_file(PATH)
+    for k in range(20):
+        text = " ".join([*common, *(f"once{k}x{i}." for i in range(400))])
+        counts, ids = held.encode(pa.array([text]), 1)
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1] and counts.tolist() == [len(ids)]
+        assert len(held.store.place) <= 2000
+    assert sum(w.startswith("common") for w in learned) == 300
+
+
+#: Anonymous memory that a worker adds, at most, over 20 MB with many words that occur once, in batches as Spark's.
+WORKER = r"""
+import random, re, sys
+import pyarrow as pa
+from loomq.llm import token_planes as tp
+
+def anon():
+    return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    rng = random.Random(1)
+    for k in range(2):
+        texts = [" ".join(f"w{rng.randrange(3000)}" if rng.random() < 0.9 else f"n{rng.getrandbits(30)}." for _ in range(350)) for _ in range(5000)]
+        yield pa.record_batch([pa.array(range(5000)), pa.array(texts)], names=["doc_id", "text"])
+
+given = list(batches())
+tp.word_tokens(sys.argv[1])
+start = most = anon()
+encode = tp.WordTokens.encode
+def watched(*args):
+    global most
+    out = encode(*args)
+    most = max(most, anon())
+    return out
+tp.WordTokens.encode = watched
+for _ in tp.shard_records(given, sys.argv[1], 1, 1):
+    most = max(most, anon())
+print(most - start)
+"""
+
+
+def test_a_worker_holds_little_memory():
+    ran = subprocess.run([sys.executable, "-c", WORKER, PATH], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert ran.returncode == 0, ran.stderr
+    assert float(ran.stdout) < 180
+
+
+def test_digests_without_ids(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"text number {k}") for k in range(50)], "doc_id bigint, text string")
+    tp.write_shards(df, str(tmp_path / "s"), PATH, shards=4)
+    whole, digests = (tp.read_shards(spark, str(tmp_path / "s"), with_ids=x) for x in (True, False))
+    assert digests.columns == whole.columns[:-1]
+    assert sorted(digests.collect()) == sorted(whole.drop("ids").collect())
